@@ -24,7 +24,7 @@ from .common import in_pieces, text_or_empty
 
 LONG = 256
 #: Words kept encoded per worker and generation; two generations are held.
-CACHE = 200_000
+CACHE = 400_000
 NONE = 1 << 60
 
 # The split pattern of the vocabulary; white space is Unicode's White_Space property.
@@ -58,6 +58,11 @@ class Vocabulary:
         raw = lambda token: bytes(letters[c] for c in token)
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(spec["model"]["merges"])}
+        #: ranks of pairs of single bytes, where every word starts
+        self.first = [NONE] * 65536
+        for (a, b), r in self.ranks.items():
+            if len(a) == len(b) == 1:
+                self.first[a[0] << 8 | b[0]] = r
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
@@ -72,7 +77,8 @@ class Vocabulary:
     def _by_scan(self, word: bytes) -> list[bytes]:
         get = self.ranks.get
         bounds = list(range(len(word) + 1))
-        ranks = [get((word[i : i + 1], word[i + 1 : i + 2]), NONE) for i in range(len(word) - 1)]
+        first = self.first
+        ranks = [first[a << 8 | b] for a, b in zip(word, word[1:])]
         while ranks and (low := min(ranks)) < NONE:
             i = ranks.index(low)
             del bounds[i + 1]
@@ -114,8 +120,14 @@ class Vocabulary:
     def _remember(self, chunk: str) -> tuple[str, bytes]:
         found = self.old.get(chunk)
         if found is None:
-            ids = self.ids_of(chunk)
-            found = ",".join(map(str, ids)), b"".join(self.bytes[i] for i in ids)
+            words = PATTERN.findall(chunk)
+            if len(words) > 1:
+                get = self.young.get
+                parts = [get(w) or self._remember(w) for w in words]
+                found = ",".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
+            else:
+                ids = [self.ids[p] for p in self.parts(chunk.encode())]
+                found = ",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids])
         if len(chunk) <= 64:
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
