@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, simhash
+from . import bpe, language, packing, simhash, toxicity
 from .common import crc_mod, load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,12 +30,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"), width=4, words64=1, max_bits=4)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op9_simhash_near_dedup)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op8_toxicity, op9_simhash_near_dedup)
 }
 ORACLES: dict[str, str] = {}
