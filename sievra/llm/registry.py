@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, packing, simhash, toxicity
+from . import bpe, embedding, fingerprint, language, packing, simhash, toxicity
 from .common import crc_mod, load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(load(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op6_fingerprints, op8_toxicity, op9_simhash_near_dedup)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op5_embedding_near_dedup, op6_fingerprints, op8_toxicity, op9_simhash_near_dedup)
 }
 ORACLES: dict[str, str] = {}
