@@ -15,6 +15,8 @@ Texts: null counts as empty; every document has at least the end id. Repeated ro
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -28,18 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import byte_letters
 from .common import in_pieces, stage, text_or_empty
 
-CACHE = 200_000
+CACHE = 300_000
 #: Pieces of one length and bucket are ranked together; buckets are this many per hot length.
 BUCKETS = 64
-_ODD_BLANKS = regex.compile(r"[\x1c-\x1f]")
+ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
     """ids of the tokenizers library, remembered per run of non-blank characters.
 
     The vocabulary's words never run across white space, so the ids of a text are those of its runs in order.
+    A run that isn't known is normalised and split as the tokenizer file says; its words go to the library's model.
     """
 
     def __init__(self, path: str):
@@ -48,16 +52,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _of(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """ids of one word of the split."""
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        found = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(found)}I", *found)
+
     def _remember(self, run: str) -> bytes:
         found = self.old.get(run)
         if found is None:
-            found = self._of(run)
+            core = run.rstrip(".,;:!?|")
+            if core.isalpha() and max(core) < "\u0130":  # letters that are composed already, and lower alike everywhere
+                word = core.lower()
+                if word == run:
+                    found = self._word(run)
+                else:
+                    found = self.young.get(word) or self._remember(word)
+                    if len(core) < len(run):
+                        tail = run[len(core) :]
+                        found += self.young.get(tail) or self._remember(tail)
+            elif any(s in run for s in self.special):
+                found = self._of(run)
+            else:
+                plain = run.lower() if run.isascii() else self.tokenizer.normalizer.normalize_str(run)
+                words = self.pattern.findall(plain)
+                if words == [run]:
+                    found = self._word(run)
+                else:
+                    get = self.young.get
+                    found = b"".join([get(w) or self._remember(w) for w in words])
         if len(run) <= 64:
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
@@ -66,7 +101,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if _ODD_BLANKS.search(text):  # str.split() takes these for white space, the library doesn't
+        if any(c in text for c in ODD_BLANKS):  # str.split() takes these for white space, the library doesn't
             return self._of(text)
         get = self.young.get
         return b"".join([get(w) or self._remember(w) for w in text.split()])
