@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, fingerprint, language, packing, simhash, toxicity
+from . import bpe, embedding, fingerprint, language, packing, simhash, suffix, toxicity
 from .common import crc_mod, load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(load(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(load(spark, sf_dir, "documents"), 200).drop("kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = toxicity.learn(docs, labels.filter(crc_mod("doc_id", 3) != 1))
@@ -51,6 +55,6 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op5_embedding_near_dedup, op6_fingerprints, op8_toxicity, op9_simhash_near_dedup)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op5_embedding_near_dedup, op6_fingerprints, op7_suffix_dedup, op8_toxicity, op9_simhash_near_dedup)
 }
 ORACLES: dict[str, str] = {}
