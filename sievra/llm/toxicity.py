@@ -34,11 +34,11 @@ DECAY = 0.6
 FLOOR = 0.3
 #: Letters of a unit seen at once; longer units are windows that overlap by half.
 SPAN = 24
-CACHE = 400_000
+CACHE = 600_000
 _APART = re.compile(r"(?<!\w)(?:[^\W\d_][\W_]{1,3}){2,}[^\W\d_](?!\w)")
 _OTHER = re.compile(r"[\W\d_]+")
 _END = re.compile(r"[.!?\n]+")
-PAIR_SLOTS = 1024
+PAIR_SLOTS = 512
 #: Sentences of a labelled document that training looks at, those nearest to landmarks.
 SENTENCES = 8
 
@@ -68,9 +68,11 @@ def _codes(words: list[str]) -> np.ndarray:
 
 def kernel(a: list[str], b: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The subsequence kernel of each a[i] with b[i], not normalised."""
-    if not a:
-        return np.zeros(0)
-    s, t = _codes(a), _codes(b)
+    return _kernel(_codes(a), _codes(b), order, decay) if a else np.zeros(0)
+
+
+def _kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """kernel() of rows of code points; 0 is behind the end."""
     n, m = t.shape
     gaps = np.arange(m)[None, :] - np.arange(m)[:, None]
     carry = np.where(gaps >= 0, decay ** (np.maximum(gaps, 0) + 2.0), 0.0)  # from a match at j' to j
@@ -79,10 +81,11 @@ def kernel(a: list[str], b: list[str], order: int = ORDER, decay: float = DECAY)
     for k in range(s.shape[1]):
         letter = s[:, k : k + 1]
         match = (t == letter) & (letter != 0)
-        total += decay**2 * (match * prefix[order - 1][:, :m]).sum(axis=1)
+        total += decay**2 * np.einsum("ij,ij->i", match, prefix[order - 1][:, :m])
         for i in range(order - 1, 0, -1):
-            step = (match * prefix[i - 1][:, :m]) @ carry
-            prefix[i][:, 1:] = decay * prefix[i][:, 1:] + step
+            later = prefix[i][:, 1:]
+            later *= decay
+            later += (match * prefix[i - 1][:, :m]) @ carry
     return total
 
 
@@ -95,16 +98,17 @@ def similarity(a: list[str], b: list[str]) -> np.ndarray:
     return kernel(a, b) / np.sqrt(self_[i] * self_[j])
 
 
-def pairs_of(words: list[str]) -> np.ndarray:
-    """For each word, which letter pairs (side by side or with one letter between) it has, by hash slot."""
-    codes = _codes([w or "\0" for w in words]).astype(np.int64)
+def pairs_of(words: list[str], gaps: tuple[int, ...] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words, and which letter pairs (side by side or with one letter between) each has, by hash slot."""
+    codes = _codes([w or "\0" for w in words])
+    wide = codes.astype(np.int64)
     out = np.zeros((len(words), PAIR_SLOTS), dtype=np.float32)
-    for gap in (1, 2):
-        if codes.shape[1] > gap:
-            x, y = codes[:, :-gap], codes[:, gap:]
+    for gap in gaps:
+        if wide.shape[1] > gap:
+            x, y = wide[:, :-gap], wide[:, gap:]
             i, j = np.nonzero((x > 0) & (y > 0))
             out[i, (x[i, j] * 31 + y[i, j] * 977) % PAIR_SLOTS] = 1
-    return out
+    return codes, out
 
 
 @dataclass
@@ -127,45 +131,44 @@ class Values:
         self.table = np.zeros((1024, max(1, len(landmarks))), dtype=np.float32)
         self.used = 1  # row 0: nothing near any landmark
         if landmarks:
-            close = np.zeros((len(landmarks), PAIR_SLOTS), dtype=np.float32)
-            codes = _codes(landmarks).astype(np.int64)
-            x, y = codes[:, :-1], codes[:, 1:]
-            i, j = np.nonzero((x > 0) & (y > 0))
-            close[i, (x[i, j] * 31 + y[i, j] * 977) % PAIR_SLOTS] = 1
+            self.codes, close = pairs_of(landmarks, (1,))
             self.close = close.T.copy()
-            self.least = np.maximum(2, np.ceil(0.4 * close.sum(axis=1)))
+            self.least = np.maximum(2, np.ceil(0.5 * close.sum(axis=1)))
             self.self_ = kernel(landmarks, landmarks)
 
     def _learn(self, new: list[str]) -> None:
-        owners, names = [], []
-        for r in new:
-            self.rows[r] = 0
-            u = unit(r)
+        unit_of: dict[str, int] = {}
+        owner = [unit_of.setdefault(unit(r), len(unit_of)) for r in new]
+        names, units = [], []
+        for u, k in unit_of.items():
             if len(u) >= ORDER:
-                for w in windows(u):
-                    owners.append(r)
-                    names.append(w)
-        for k in range(0, len(names), 4096):
-            part, own = names[k : k + 4096], owners[k : k + 4096]
-            i, j = np.nonzero(pairs_of(part) @ self.close >= self.least)
+                parts = windows(u)
+                names += parts
+                units += [k] * len(parts)
+        # of like length together, so that rows are hardly padded
+        order = np.argsort([len(w) for w in names], kind="stable").tolist()
+        place = np.zeros(len(unit_of), dtype=np.int64)
+        for k in range(0, len(order), 4096):
+            part = [names[x] for x in order[k : k + 4096]]
+            own = np.array([units[x] for x in order[k : k + 4096]])
+            codes, pairs = pairs_of(part)
+            i, j = np.nonzero(pairs @ self.close >= self.least)
             if not len(i):
                 continue
             near, where = np.unique(i, return_inverse=True)
-            self_ = kernel([part[x] for x in near], [part[x] for x in near])
-            value = np.zeros(len(i))
-            for c in range(0, len(i), 8192):
-                value[c : c + 8192] = kernel([part[x] for x in i[c : c + 8192]], [self.landmarks[x] for x in j[c : c + 8192]])
+            self_ = _kernel(codes[near], codes[near])
+            value = np.concatenate([_kernel(codes[i[c : c + 8192]], self.codes[j[c : c + 8192]]) for c in range(0, len(i), 8192)])
             value /= np.sqrt(np.maximum(self_[where] * self.self_[j], 1e-300))
             keep = value >= FLOOR
-            for x, y, v in zip(i[keep].tolist(), j[keep].tolist(), value[keep].tolist()):
-                at = self.rows[own[x]]
-                if not at:
-                    if self.used == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    at = self.rows[own[x]] = self.used
-                    self.used += 1
-                    self.table[at] = 0
-                self.table[at, y] = max(self.table[at, y], v)
+            at, j, value = own[i[keep]], j[keep], value[keep]
+            fresh = np.unique(at[place[at] == 0])
+            while self.used + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            place[fresh] = np.arange(self.used, self.used + len(fresh))
+            self.table[self.used : self.used + len(fresh)] = 0
+            self.used += len(fresh)
+            np.maximum.at(self.table, (place[at], j), value)
+        self.rows.update(zip(new, place[owner].tolist()))
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Values of all sentences that are near any landmark, and the text that each is of."""
