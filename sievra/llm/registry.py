@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, fingerprint, language, packing, simhash, suffix, toxicity
+from . import bpe, embedding, fingerprint, language, lm, packing, simhash, suffix, toxicity
 from .common import crc_mod, load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,7 +54,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model, table = lm.learn(docs, crc_mod("doc_id", 7) != 2)
+    return lm.score(docs, model, table).withColumn("held_out", crc_mod("doc_id", 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op5_embedding_near_dedup, op6_fingerprints, op7_suffix_dedup, op8_toxicity, op9_simhash_near_dedup)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op5_embedding_near_dedup, op6_fingerprints, op7_suffix_dedup, op8_toxicity, op9_simhash_near_dedup, op10_lm_scoring)
 }
 ORACLES: dict[str, str] = {}
