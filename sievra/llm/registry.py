@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, fingerprint, language, lm, packing, simhash, suffix, toxicity
+from . import bpe, embedding, fingerprint, language, license, lm, packing, simhash, suffix, toxicity
 from .common import crc_mod, load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(load(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(load(spark, sf_dir, "embeddings"))
 
@@ -61,6 +65,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op5_embedding_near_dedup, op6_fingerprints, op7_suffix_dedup, op8_toxicity, op9_simhash_near_dedup, op10_lm_scoring)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_packing, op3_language_id, op4_license_scan, op5_embedding_near_dedup, op6_fingerprints, op7_suffix_dedup, op8_toxicity, op9_simhash_near_dedup, op10_lm_scoring)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_license_scan": license.oracle()}
