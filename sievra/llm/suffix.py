@@ -201,7 +201,7 @@ def removed_spans(docs: DataFrame, length: int = 200, q: int | None = None) -> D
     contexts = stage(both.mapInArrow(cut, f"_id {kind}, _key long, h long, at int, hot boolean, start long, data binary"), "cuts")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorts the contexts of whole anchors, some megabytes at a time."""
+        """Sorts the contexts of whole anchors, a megabyte or two at a time."""
 
         def sorted_(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(rows).combine_chunks()
@@ -237,8 +237,8 @@ def removed_spans(docs: DataFrame, length: int = 200, q: int | None = None) -> D
 
         held, size = [], 0
         for whole_ in batches:
-            for batch in in_pieces(iter([whole_]), "data", 2 << 20):
-                if size > 8 << 20:
+            for batch in in_pieces(iter([whole_]), "data", 1 << 19):
+                if size > 3 << 19:
                     h = batch.column(2).to_numpy()
                     old = held[-1].column(2)[-1].as_py()
                     new = int(np.argmax(h != old)) if (h != old).any() else batch.num_rows
@@ -296,7 +296,7 @@ def _refined_over_cluster(contexts: DataFrame, length: int, reach: int, kind: st
         split = stage(halves(rows), "halves")
         inner, outer = repeated(split, "inner"), repeated(split, "outer")
         told = split.join(outer, F.col("outer") == F.col("outer2"), "left").withColumn("settled", F.col("outer2").isNotNull()).drop("outer2")
-        done = told.filter("settled").select("_id", "_key", (F.col("start") + F.col("at") - F.col("hi")).alias("start"), (F.col("start") + F.col("at") - F.col("lo") + length).alias("end"))
+        done = stage(told.filter("settled").select("_id", "_key", (F.col("start") + F.col("at") - F.col("hi")).alias("start"), (F.col("start") + F.col("at") - F.col("lo") + length).alias("end")), "settled")
         out = done if out is None else out.unionByName(done)
         if width == 1:
             return out
