@@ -1,12 +1,67 @@
-"""Cleaning of a corpus in stages; each stage works on all documents that the one before has kept."""
+"""Cleaning of a corpus in stages; each stage works on all documents that the one before has kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of docs.
+Null and empty texts: the first stage rejects them, as it does texts without letters.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sievra.llm import language, packing, simhash, suffix, toxicity
 from sievra.llm.common import load, stage
 
-STAGES: list = []
+#: A document goes if no language has this share of it,
+LANGUAGE_SCORE = 0.4
+#: or if it is toxic with this probability.
+TOXIC_SCORE = 0.7
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language. Where lang is null, the language found is filled in."""
+    found = language.identify(docs, language.learn(docs), keep=docs.columns)
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that are toxic by a machine trained on the labelled ones among them."""
+    model = toxicity.learn(docs, load(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=docs.columns).filter(F.col("score") < TOXIC_SCORE).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the smallest id stays;
+    of rows repeated as a whole, one."""
+    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    found = stage(simhash.near_duplicates(docs.select(row.alias("_row"), "text"), id_col="_row").select("_row", "component"), "groups")
+    losers = found.filter("_row != component").select("_row").distinct().withColumnRenamed("_row", "_lost")
+    kept = docs.withColumn("_row", row).join(losers, F.col("_row").eqNullSafe(F.col("_lost")), "left_anti")
+    if found.groupBy("_row").count().filter("count > 1").head(1):
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(*docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes strings of 200 bytes that occur twice. A character that is cut goes as a whole."""
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = suffix.remove_repeats(docs, 200, keep=rest)
+    return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("passages", remove_repeated_passages),
+    ("packing", pack),
+]
 #: SQL has no counterpart of the trained stages; tests/llm compares with brute force.
 ORACLE_SQL: str | None = None
 
@@ -16,4 +71,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

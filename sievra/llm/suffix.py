@@ -309,7 +309,9 @@ def _refined_over_cluster(contexts: DataFrame, length: int, reach: int, kind: st
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id or kept columns, n_bytes, n_removed, n_spans, kept_sha256, kept binary): what is left of each text."""
+    """(id or kept columns, n_bytes, n_removed, n_spans, kept_sha256, kept binary, kept_text): what is left of each text.
+
+    kept_text is without characters of which only some bytes are left."""
     cols = keep or [id_col]
     plan = docs.select(*(docs[c].alias(f"_c{i}") for i, c in enumerate(cols)), docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text"))
     plan = plan.withColumn("_key", F.xxhash64("_text"))
@@ -320,9 +322,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields[: len(cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*(f"_c{i}" for i in range(len(cols))), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        names = [*(f"_c{i}" for i in range(len(cols))), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
         for batch in in_pieces(batches, "_text", 4 << 20):
-            n, gone, count, sha, kept = [], [], [], [], []
+            n, gone, count, sha, kept, plain = [], [], [], [], [], []
             for text, list_ in zip(batch.column(len(cols)).to_pylist(), batch.column(len(cols) + 1).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 merged: list[list[int]] = []
@@ -335,13 +337,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 for a, z in merged:
                     rest.append(raw[at:a])
                     at = z
-                left = b"".join([*rest, raw[at:]])
+                rest.append(raw[at:])
+                left = b"".join(rest)
                 n.append(len(raw))
                 gone.append(len(raw) - len(left))
                 count.append(len(merged))
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names)
+                plain.append("".join([x.decode("utf-8", "ignore") for x in rest]) if merged else text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(plain, pa.string())], names)
 
-    out = both.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.toDF(*cols, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    out = both.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
+    return out.toDF(*cols, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
