@@ -40,45 +40,60 @@ EXACT = 64
 END = b""  # no word is empty
 
 
-class Words:
-    """Slots of words: their hashes and, given a table of sorted hashes, their places in it."""
-
-    def __init__(self, table: np.ndarray | None = None):
-        self.table = table
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.hashes = np.zeros(1 << 12, dtype=np.uint64)
-        self.places = np.zeros(1 << 12, dtype=np.int64)
-        self.learn([END])
-
-    def learn(self, words: list[bytes]) -> None:
-        k, n = len(self.slots), len(words)
-        while k + n > len(self.hashes):
-            self.hashes, self.places = np.r_[self.hashes, np.zeros_like(self.hashes)], np.r_[self.places, np.zeros_like(self.places)]
-        digest = xxhash.xxh64_digest
-        h = np.frombuffer(b"".join([digest(w) for w in words]), dtype=">u8").astype(np.uint64)
-        self.hashes[k : k + n] = h
-        if self.table is not None:
-            at = np.searchsorted(self.table, h)
-            found = (at < len(self.table)) & (self.table[np.minimum(at, len(self.table) - 1)] == h) if len(self.table) else np.zeros(n, dtype=bool)
-            self.places[k : k + n] = np.where(found, at, -1)
-        self.slots.update(zip(words, range(k, k + n)))
-
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of all tokens of the texts, an end after each, and the number of tokens of each."""
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        if len(self.slots) > CACHE:
-            self.clear()
-        self.learn(sorted({w for x in split for w in x if w not in self.slots}))
-        get = self.slots.__getitem__
-        sizes = np.array([len(x) + 1 for x in split], dtype=np.int64)
-        out = np.zeros(int(sizes.sum()), dtype=np.int64)  # slot 0 is the end
-        real = np.ones(len(out), dtype=bool)
-        real[np.cumsum(sizes) - 1] = False
-        out[real] = np.fromiter((get(w) for x in split for w in x), dtype=np.int64, count=int(real.sum()))
-        return out, sizes
+class Reader:
+    """Hashes of words, 8 bytes each, remembered per worker."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.end = xxhash.xxh64_digest(END)
+
+    def _learn(self, word: bytes) -> bytes:
+        found = xxhash.xxh64_digest(word)
+        if len(word) <= 64:
+            if len(self.young) >= CACHE:
+                self.young.clear()
+            self.young[word] = found
+        return found
+
+    def read(self, raw: bytes) -> bytes:
+        """The tokens of a text: its words, then the end."""
+        get = self.young.get
+        return b"".join([get(w) or self._learn(w) for w in raw.lower().split()]) + self.end  # of bytes: A-Z, and \x20 \x09-\x0D
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a column of token strings, and how many each row has."""
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), dtype="<i8"), np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+
+
+def _places(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Place of each token in a sorted table, -1 for those that aren't in it."""
+    unique, where = np.unique(tokens, return_inverse=True)
+    if not len(table):
+        return np.full(len(tokens), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, unique), len(table) - 1)
+    return np.where(table[at] == unique, at, -1)[where]
+
+
+def read(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tokens of each whole text, hashed, written to the shared folder: (_id, _key, _part, _tokens).
+
+    _key is a hash of the text; _part is 1 for rows that are learned from, 2 for those of them that are held out for
+    the weights, 0 for others.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    part = F.when(F.coalesce(train, F.lit(False)), F.when(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(HELD)) == 0, 2).otherwise(1)).otherwise(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in in_pieces(batches, "_text", 4 << 20):
+            raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            keys = [xxhash.xxh64_intdigest(r) - (1 << 63) for r in raws]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(1), pa.array([reader.read(r) for r in raws], pa.binary())], ["_id", "_key", "_part", "_tokens"])
+
+    rows = docs.select(docs[id_col].alias("_id"), part.cast("int").alias("_part"), text_or_empty(text_col).alias("_text"))
+    return stage(rows.mapInArrow(run, f"_id {kind}, _key long, _part int, _tokens binary"), "tokens")
 
 
 @dataclass
@@ -107,17 +122,12 @@ class Model:
         return np.log10(self.own * count / max(1, self.shared_tokens) + (1 - self.own) / (self.shared_words + 1.0))
 
 
-def _flags(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    part = F.when(train, F.when(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(HELD)) == 0, 2).otherwise(1)).otherwise(0)
-    return df.select(df[id_col].alias("_id"), text_or_empty(text_col).alias("_text"), part.cast("int").alias("_part"))
-
-
-def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, words: int = WORDS) -> tuple[Model, DataFrame]:
-    """The model of the rows for which `train` holds, and the table (w, n) of all word counts."""
-    rows = _flags(docs, F.coalesce(train, F.lit(False)), id_col, text_col).filter("_part > 0").select("_part", "_text")
+def learn(tokens: DataFrame, classes: int = CLASSES, words: int = WORDS) -> tuple[Model, DataFrame]:
+    """The model of the rows of read() that are learned from, and the table (w, n) of all word counts."""
+    rows = tokens.filter("_part > 0").select("_part", "_tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held, size = Words(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             key = np.concatenate([h for h, _ in held])
@@ -125,12 +135,12 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             unique, where = np.unique(key, return_inverse=True)
             kept = np.bincount(where, weights=part == 1, minlength=len(unique)).astype(np.int64)
             out = np.bincount(where, weights=part == 2, minlength=len(unique)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(kept), pa.array(out)], ["w", "kept", "held"])
+            return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(kept), pa.array(out)], ["w", "kept", "held"])
 
-        for batch in in_pieces(batches, "_text", 4 << 20):
-            slots, sizes = reader.read(batch.column(1).to_pylist())
-            held.append((reader.hashes[slots], np.repeat(batch.column(0).to_numpy(), sizes)))
-            size += len(slots)
+        for batch in in_pieces(batches, "_tokens"):
+            flat, sizes = _flat(batch.column(1))
+            held.append((flat, np.repeat(batch.column(0).to_numpy(), sizes)))
+            size += len(flat)
             if size > 1 << 22:
                 yield flush()
                 held, size = [], 0
@@ -143,7 +153,7 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     bin_ = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + 1000)
     bins = sorted(table.groupBy(bin_.alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r.n)
     totals = table.agg(F.sum("n"), F.count("*")).first()
-    tokens, distinct = int(totals[0] or 0), int(totals[1])
+    n_tokens, distinct = int(totals[0] or 0), int(totals[1])
     threshold, room = 1 << 62, words
     for r in bins:
         if r.k > room:
@@ -151,7 +161,7 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         threshold, room = r.n, room - r.k
     # frequent words: fewer than `words`
     frequent = table.filter(F.col("n") >= threshold).select("w", "kept", "held").toArrow() if bins else pa.table({"w": pa.array([], pa.int64()), "kept": pa.array([], pa.int64()), "held": pa.array([], pa.int64())})
-    hashes = frequent.column("w").to_numpy().view(np.uint64)
+    hashes = frequent.column("w").to_numpy()
     order = np.argsort(hashes)
     hashes, kept, held = hashes[order], frequent.column("kept").to_numpy()[order], frequent.column("held").to_numpy()[order]
     counts = kept + held
@@ -160,23 +170,22 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     class_of = np.full(len(hashes), shared, dtype=np.int64)
     class_of[own] = np.arange(len(own))
     n_classes = shared + 1
-    spark = docs.sparkSession
+    spark = tokens.sparkSession
     tables = spark.sparkContext.broadcast((hashes, class_of))  # bounded by `words`
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of = tables.value
-        reader, held, size = Words(known), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["pair", "n"])
 
-        for batch in in_pieces(batches, "_text", 4 << 20):
-            slots, sizes = reader.read(batch.column(1).to_pylist())
-            cls = _classes(reader, slots, of, shared)
-            context = _contexts(cls, sizes, n_classes)
-            held.append((context * n_classes + cls) * 2 + (np.repeat(batch.column(0).to_numpy(), sizes) == 2))
-            size += len(slots)
+        for batch in in_pieces(batches, "_tokens"):
+            flat, sizes = _flat(batch.column(1))
+            cls = _classes(_places(known, flat), of, shared)
+            held.append((_contexts(cls, sizes, n_classes) * n_classes + cls) * 2 + (np.repeat(batch.column(0).to_numpy(), sizes) == 2))
+            size += len(flat)
             if size > 1 << 22:
                 yield flush()
                 held, size = [], 0
@@ -190,19 +199,18 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     weights = fit_weights(cells[:, :, 0], cells[:, :, 1])
     log_bigram = interpolate(cells.sum(axis=2), weights, cells[:, :, 0].sum() / max(1.0, cells.sum()))
     # words of the shared class: the same on counts, with bins of counts in the place of cells
-    alone = table if not len(own) else table.join(F.broadcast(spark.createDataFrame([(int(x),) for x in hashes[own].view(np.int64)], "w long")), "w", "left_anti")
+    alone = table if not len(own) else table.join(F.broadcast(spark.createDataFrame([(int(x),) for x in hashes[own]], "w long")), "w", "left_anti")
     bin2 = F.when(F.col("kept") <= EXACT, F.col("kept")).otherwise(F.floor(F.log2("kept") * 8) + 1000)
     fine = alone.groupBy(bin2.alias("b")).agg(F.sum("held").alias("held"), F.avg("kept").alias("kept"), F.count("*").alias("k"), F.sum("kept").alias("all")).collect()
     mass, words_kept = sum(r["all"] for r in fine), sum(r.k for r in fine if r.kept)
     own_weight = fit_shared([(r.held or 0, r.kept) for r in fine], mass, words_kept)
-    shared_tokens = tokens - int(counts[own].sum())
-    model = Model(tokens, distinct, int(threshold), hashes, counts, class_of, log_bigram.astype(np.float32), own_weight, shared_tokens, distinct - len(own), weights)
+    shared_tokens = n_tokens - int(counts[own].sum())
+    model = Model(n_tokens, distinct, int(threshold), hashes, counts, class_of, log_bigram.astype(np.float32), own_weight, shared_tokens, distinct - len(own), weights)
     return model, table.select("w", "n")
 
 
-def _classes(reader: Words, slots: np.ndarray, of: np.ndarray, shared: int) -> np.ndarray:
-    places = reader.places[slots]
-    return np.where(places >= 0, of[np.maximum(places, 0)], shared) if len(of) else np.full(len(slots), shared, dtype=np.int64)
+def _classes(places: np.ndarray, of: np.ndarray, shared: int) -> np.ndarray:
+    return np.where(places >= 0, of[np.maximum(places, 0)], shared) if len(of) else np.full(len(places), shared, dtype=np.int64)
 
 
 def _contexts(cls: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
@@ -276,46 +284,44 @@ def fit_shared(bins: list[tuple[float, float]], mass: float, words: int, rounds:
     return min(max(w, 1e-6), 1 - 1e-6)
 
 
-def score(docs: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for each whole text."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `words` and `classes`
+def score(tokens: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of read()."""
+    kind = tokens.schema["_id"].dataType.simpleString()
+    shared = tokens.sparkSession.sparkContext.broadcast(model)  # bounded by `words` and `classes`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        reader = Words(m.hashes)
         rest = m.log_bigram.shape[1] - 1
         base = m.log10_base(m.counts.astype(np.float64))
         word = np.where(m.classes == rest, m.log10_shared(m.counts.astype(np.float64)), 0.0)
         names = ["_id", "_key", "w", "n", "n_tokens", "n_known", "base", "score"]
-        for batch in in_pieces(batches, "_text", 4 << 20):
-            texts = batch.column(1).to_pylist()
-            slots, sizes = reader.read(texts)
-            cls = _classes(reader, slots, m.classes, rest)
-            places = reader.places[slots]
+        for batch in in_pieces(batches, "_tokens"):
+            rows, keys = batch.num_rows, batch.column(1)
+            flat, sizes = _flat(batch.column(2))
+            places = _places(m.hashes, flat)
+            cls = _classes(places, m.classes, rest)
             known = places >= 0
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            add = lambda v, rows=slice(None): np.bincount(doc[rows], weights=v, minlength=len(texts)).astype(np.float64)
+            doc = np.repeat(np.arange(rows), sizes)
+            add = lambda v, own=slice(None): np.bincount(doc[own], weights=v, minlength=rows).astype(np.float64)
             bigram = add(m.log_bigram[_contexts(cls, sizes, rest + 1), cls].astype(np.float64)) / np.log(10)
             at = places[known]
-            keys = pa.array([int(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) - (1 << 63) for t in texts], pa.int64())
-            empty = lambda t: pa.nulls(len(texts), t)
+            empty = lambda t: pa.nulls(rows, t)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), keys, empty(pa.int64()), empty(pa.int64()), pa.array(sizes), pa.array(add(None, known).astype(np.int64) if known.any() else np.zeros(len(texts), np.int64)), pa.array(add(base[at], known)), pa.array(bigram + add(word[at], known))],
+                [batch.column(0), keys, empty(pa.int64()), empty(pa.int64()), pa.array(sizes), pa.array(np.bincount(doc[known], minlength=rows).astype(np.int64)), pa.array(add(base[at], known)), pa.array(bigram + add(word[at], known))],
                 names,
             )
             rare = np.flatnonzero(~known)
             if len(rare):
-                h, d = reader.hashes[slots[rare]], doc[rare]
+                h, d = flat[rare], doc[rare]
                 order = np.lexsort((h, d))
                 h, d = h[order], d[order]
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
                 n = np.diff(np.r_[first, len(h)])
                 take = pa.array(d[first])
                 none = lambda t: pa.nulls(len(first), t)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), keys.take(take), pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64)), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), keys.take(take), pa.array(h[first]), pa.array(n.astype(np.int64)), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names)
 
-    plan = docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text"))
+    plan = tokens.select("_id", "_key", "_tokens")
     rows = stage(plan.mapInArrow(run, f"_id {kind}, _key long, w long, n long, n_tokens long, n_known long, base double, score double"), "scored")
     whole = rows.filter("w is null").drop("w", "n")
     rare = rows.filter("w is not null").select("_id", "_key", "w", "n")

@@ -59,9 +59,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    model, table = lm.learn(docs, crc_mod("doc_id", 7) != 2)
-    return lm.score(docs, model, table).withColumn("held_out", crc_mod("doc_id", 7) == 2)
+    tokens = lm.read(load(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return lm.score(tokens, *lm.learn(tokens)).withColumn("held_out", crc_mod("doc_id", 7) == 2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -33,8 +33,9 @@ def test_counts_and_base(spark, words):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
     train = F.col("doc_id") % 5 != 0
-    model, table = lm.learn(df, train, classes=20, words=words)
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score(df, model, table).collect())
+    rows_ = lm.read(df, train)
+    model, table = lm.learn(rows_, classes=20, words=words)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score(rows_, model, table).collect())
     count = Counter(t for i, x in rows if i is not None and i % 5 for t in tokens(x))
     n, v = sum(count.values()), len(count)
     want = []
@@ -47,12 +48,13 @@ def test_counts_and_base(spark, words):
 def test_score_is_a_probability_and_beats_the_base(spark):
     rows = corpus()[:250]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    model, table = lm.learn(df, F.col("doc_id") % 5 != 0, classes=70, words=80)
-    got = lm.score(df, model, table).filter("doc_id % 5 = 0").agg(F.sum("score"), F.sum("base_score")).first()
+    rows_ = lm.read(df, F.col("doc_id") % 5 != 0)
+    model, table = lm.learn(rows_, classes=70, words=80)
+    got = lm.score(rows_, model, table).filter("doc_id % 5 = 0").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
     assert np.allclose(np.exp(model.log_bigram).sum(axis=1), 1, atol=1e-4)
     shared = {r.w: r.n for r in table.collect()}
-    own = {int(h) for h, c in zip(model.hashes.view(np.int64), model.classes) if c < model.log_bigram.shape[1] - 1}
+    own = {int(h) for h, c in zip(model.hashes, model.classes) if c < model.log_bigram.shape[1] - 1}
     mass = sum(10 ** float(model.log10_shared(n)) for w, n in shared.items() if w not in own) + 10 ** float(model.log10_shared(0))
     assert math.isclose(mass, 1, rel_tol=1e-6)
     assert len(own) + model.shared_words == model.distinct
@@ -61,17 +63,18 @@ def test_score_is_a_probability_and_beats_the_base(spark):
 def test_whole_score_by_hand(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    model, table = lm.learn(df, F.col("doc_id") % 5 != 0, classes=20, words=40)
-    got = {r.doc_id: r.score for r in lm.score(df, model, table).collect()}
+    rows_ = lm.read(df, F.col("doc_id") % 5 != 0)
+    model, table = lm.learn(rows_, classes=20, words=40)
+    got = {r.doc_id: r.score for r in lm.score(rows_, model, table).collect()}
     import xxhash
 
     counts = {r.w: r.n for r in table.collect()}
-    cls = dict(zip(model.hashes.view(np.int64).tolist(), model.classes.tolist()))
+    cls = dict(zip(model.hashes.tolist(), model.classes.tolist()))
     rest = model.log_bigram.shape[1] - 1
     for i, t in rows[:60]:
         at, total = rest + 1, 0.0
         for w in tokens(t):
-            h = np.array([xxhash.xxh64_intdigest((w or "").encode())], dtype=np.uint64).view(np.int64)[0]
+            h = np.frombuffer(xxhash.xxh64_digest((w or "").encode()), "<i8")[0]
             k = cls.get(int(h), rest)
             total += model.log_bigram[at, k] / math.log(10) + (float(model.log10_shared(counts.get(int(h), 0))) if k == rest else 0)
             at = k
@@ -97,8 +100,10 @@ def test_weights_are_brute_force_em():
 
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    model, table = lm.learn(df, F.lit(False))
-    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.score(df, model, table).collect()}
+    rows_ = lm.read(df, F.lit(False))
+    model, table = lm.learn(rows_)
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.score(rows_, model, table).collect()}
     assert got == {1: (3, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
-    model, table = lm.learn(df.limit(0), F.lit(True))
-    assert lm.score(df.limit(0), model, table).count() == 0
+    rows_ = lm.read(df.limit(0), F.lit(True))
+    model, table = lm.learn(rows_)
+    assert lm.score(rows_, model, table).count() == 0
