@@ -115,14 +115,14 @@ def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]
     first = data.agg(*(F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))), *(F.min(f"v{i}").alias(f"a{i}") for i in range(len(names))), *(F.max(f"v{i}").alias(f"b{i}") for i in range(len(names)))).first()
     sizes = [first[f"n{i}"] for i in range(len(names))]
     low, high = [first[f"a{i}"] for i in range(len(names))], [first[f"b{i}"] for i in range(len(names))]
-    below, inside = [0] * len(names), list(sizes)
+    below, inside, margin = [0] * len(names), list(sizes), [0.002] * len(names)
     for _ in range(12):
         wide = [i for i in range(len(names)) if inside[i] > MEDIAN_ROWS and low[i] < high[i]]
         if not wide:
             break
         near = lambda i: F.when(F.col(f"v{i}").between(low[i], high[i]), F.col(f"v{i}"))
         share = lambda i: min(1.0, max(0.0, ((sizes[i] - 1) / 2 - below[i]) / inside[i]))
-        q = data.agg(*(F.percentile_approx(near(i), [max(0.0, share(i) - 0.002), min(1.0, share(i) + 0.002)], 2000).alias(f"q{i}") for i in wide)).first()
+        q = data.agg(*(F.percentile_approx(near(i), [max(0.0, share(i) - margin[i]), min(1.0, share(i) + margin[i])], 2000).alias(f"q{i}") for i in wide)).first()
         cut = {i: (q[f"q{i}"][0], q[f"q{i}"][1]) for i in wide}
         n = data.agg(*(F.count_if(F.col(f"v{i}") < cut[i][0]).alias(f"l{i}") for i in wide), *(F.count_if(F.col(f"v{i}").between(*cut[i])).alias(f"m{i}") for i in wide)).first()
         for i in wide:
@@ -132,7 +132,7 @@ def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]
                     inside[i] = min(inside[i], MEDIAN_ROWS)  # one value fills the bounds, or nearly
                 low[i], high[i], below[i], inside[i] = *cut[i], l, min(m, inside[i])
             else:
-                inside[i] = min(inside[i], MEDIAN_ROWS)  # the estimate missed; the bounds before stand
+                margin[i] *= 8  # the estimate missed; the bounds before stand
     some = [i for i in range(len(names)) if sizes[i]]
     out: dict[str, float | None] = dict.fromkeys(names)
     if not some:
