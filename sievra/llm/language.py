@@ -27,7 +27,7 @@ UNKNOWN = "und"
 #: Trigram hash buckets.
 SLOTS = 1 << 16
 #: Words whose likelihoods a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 _MUL = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint64)
 
 

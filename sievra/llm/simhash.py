@@ -47,7 +47,7 @@ def fingerprint(text: str, width: int = 4, words64: int = 1, seed: int = 42) ->
         n = len(words) - width + 1
         raw = b"".join([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), (ends[width - 1 :] - 1).tolist())])
     counts = np.zeros(64 * words64, dtype=np.int64)
-    block = max(1, (1 << 21) // words64)
+    block = max(1, (1 << 17) // words64)
     hashes = np.frombuffer(raw, dtype=">u8")
     for k in range(0, n, block):
         h = hashes[k : k + block].astype(np.uint64)
@@ -125,8 +125,8 @@ def link_lists(keys: np.ndarray, fps: np.ndarray, max_bits: int, min_matches: in
     at = np.flatnonzero(keys[:-1] == keys[1:])
     step = 1
     while len(at):
-        for k in range(0, len(at), 1 << 18):
-            i = at[k : k + (1 << 18)]
+        for k in range(0, len(at), 1 << 15):
+            i = at[k : k + (1 << 15)]
             x = words[i] ^ words[i + step]
             tally = (x.view(np.uint8).reshape(len(i), -1) == 0).sum(axis=1)
             enough = tally >= min_matches

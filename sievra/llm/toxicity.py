@@ -34,7 +34,7 @@ DECAY = 0.6
 FLOOR = 0.3
 #: Letters of a unit seen at once; longer units are windows that overlap by half.
 SPAN = 24
-CACHE = 600_000
+CACHE = 300_000
 _APART = re.compile(r"(?<!\w)(?:[^\W\d_][\W_]{1,3}){2,}[^\W\d_](?!\w)")
 _OTHER = re.compile(r"[\W\d_]+")
 _END = re.compile(r"[.!?\n]+")
