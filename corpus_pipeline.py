@@ -1,11 +1,15 @@
 """Cleaning of a corpus in stages; each stage works on all documents that the one before has kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of docs.
-Null and empty texts: the first stage rejects them, as it does texts without letters.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of docs, whatever
+other columns there are and however they are called. Null and empty texts: the first stage rejects them, as it does
+texts without letters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,39 +23,58 @@ LANGUAGE_SCORE = 0.4
 TOXIC_SCORE = 0.7
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def apart(step: Callable[[SparkSession, DataFrame, str, dict[str, str]], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Calls a step with columns under names of their own, so that none clashes; the step gets {name: name there}."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+        return step(spark, docs.toDF(*names.values()), sf_dir, names).select(*names.values()).toDF(*names)
+
+    return run
+
+
+@apart
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str, str]) -> DataFrame:
     """Rejects documents without a language. Where lang is null, the language found is filled in."""
-    found = language.identify(docs, language.learn(docs), keep=docs.columns)
+    text, lang = at["text"], at["lang"]
+    model = language.learn(docs, text_col=text, lang_col=lang)
+    found = language.identify(docs, model, keep=docs.columns, text_col=text)
     kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return kept.withColumn(lang, F.coalesce(lang, "lang_pred"))
 
 
-def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@apart
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str, str]) -> DataFrame:
     """Rejects documents that are toxic by a machine trained on the labelled ones among them."""
-    model = toxicity.learn(docs, load(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).filter(F.col("score") < TOXIC_SCORE).select(*docs.columns)
+    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias(at["doc_id"]), "toxic")
+    model = toxicity.learn(docs, labels, id_col=at["doc_id"], text_col=at["text"])
+    return toxicity.score(docs, model, keep=docs.columns, text_col=at["text"]).filter(F.col("score") < TOXIC_SCORE)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@apart
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str, str]) -> DataFrame:
     """Of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the smallest id stays;
     of rows repeated as a whole, one."""
-    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
-    found = stage(simhash.near_duplicates(docs.select(row.alias("_row"), "text"), id_col="_row").select("_row", "component"), "groups")
-    losers = found.filter("_row != component").select("_row").distinct().withColumnRenamed("_row", "_lost")
-    kept = docs.withColumn("_row", row).join(losers, F.col("_row").eqNullSafe(F.col("_lost")), "left_anti")
-    if found.groupBy("_row").count().filter("count > 1").head(1):
-        kept = kept.dropDuplicates(["_row"])
-    return kept.select(*docs.columns)
+    row = F.struct(F.col(at["doc_id"]).alias("id"), F.xxhash64(at["text"]).alias("key"))
+    found = simhash.near_duplicates(docs.select(row.alias("row"), F.col(at["text"]).alias("text")), id_col="row")
+    found = stage(found.select("row", "component"), "groups")
+    losers = found.filter("row != component").select(F.col("row").alias("lost")).distinct()
+    kept = docs.withColumn("row", row).join(losers, F.col("row").eqNullSafe(F.col("lost")), "left_anti")
+    return kept.dropDuplicates(["row"]) if found.groupBy("row").count().filter("count > 1").head(1) else kept
 
 
-def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@apart
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str, str]) -> DataFrame:
     """Removes strings of 200 bytes that occur twice. A character that is cut goes as a whole."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = suffix.remove_repeats(docs, 200, keep=rest)
-    return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in (at["text"], at.get("n_chars"))]
+    found = suffix.remove_repeats(docs, 200, id_col=at["doc_id"], text_col=at["text"], keep=rest)
+    found = found.withColumn(at["text"], F.col("kept_text"))
+    return found.withColumn(at["n_chars"], F.length("kept_text").cast(docs.schema[at["n_chars"]].dataType)) if "n_chars" in at else found
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in sequences of 4096."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -39,12 +39,14 @@ def made(tmp_path_factory, spark):
 def test_stages(spark, made):
     path, rows, passage = made
     docs = spark.read.parquet(f"{path}/documents.parquet")
+    clash = ["score", "lang_pred", "row", "kept_text", "_text", "c0", "fp"]
+    docs = docs.selectExpr(*COLUMNS, *(f"'x{i}' AS {c}" for i, c in enumerate(clash)))
     seen = {}
     for name, step in cp.STAGES:
         docs = cp.stage(step(spark, docs, path), name)
         seen[name] = docs.collect()
         if name != "packing":
-            assert docs.columns == COLUMNS
+            assert docs.columns == [*COLUMNS, *clash] and all(r[c] == f"x{i}" for r in seen[name] for i, c in enumerate(clash))
     ids = {k: Counter(r.doc_id for r in v) for k, v in seen.items()}
     assert set(Counter(r[0] for r in rows)) - set(ids["language"]) == {400, 401, 402}
     assert {r.doc_id: r.lang for r in seen["language"]}[406] == "en"
