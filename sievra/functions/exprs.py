@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from . import vocab
 
-_BLANK = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)^{_BLANK}+|{_BLANK}+\z"
-NUMBER = r"^[ \t\r\n]*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?[ \t\r\n]*$"
-_INFINITE = r"(?i)^[ \t\r\n]*[-+]?inf(inity)?[ \t\r\n]*$"
+# White space, Unicode's and the ASCII separators.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+NUMBER = r"^[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)$"
 _FLOAT = r"(?i)^[-+]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[-+]?\d+(_\d+)*)?|inf|infinity|nan)$"
 
 
@@ -23,7 +22,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c) -> Column:
     """Without white space at both ends; Unicode's too, which trim() leaves."""
-    return F.regexp_replace(col(c), _STRIP, "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def na_to_null(c) -> Column:
@@ -69,8 +68,8 @@ def first_values(columns: list[str], n: int = 4) -> Column:
 
 def num(c) -> Column:
     """The number that a whole text is, else null: exponents and infinities count; separators, signs of currency, hex and nan don't."""
-    c = col(c)
-    return F.when(c.rlike(NUMBER) | c.rlike(_INFINITE), F.trim(F.regexp_replace(c, r"[\t\r\n]", " ")).try_cast("double"))
+    plain = F.btrim(col(c), F.lit(" \t\r\n"))
+    return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
 def num_detected(c) -> Column:
@@ -143,7 +142,9 @@ def _made(year: Column, month: Column, day: Column) -> Column:
 def parse_date(c, swap_iso: bool = False) -> Column:
     """The date that a text is, else null. a/b/yyyy is day first unless b can't be a month; yyyy-a-b is month first,
     or with swap_iso day first unless b can't be a month; months may be names. A time of day may follow."""
-    v = F.regexp_replace(strip(c), r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(?i:am|pm|z)?$", "")
+    whole = strip(c)
+    clock = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(?i:am|pm|z)?$"
+    v = F.when(whole.contains(":"), F.regexp_replace(whole, clock, "")).otherwise(whole)
     part = lambda pattern, k: F.regexp_extract(v, pattern, k)
     iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
     year, a, b = part(iso, 1), part(iso, 2), part(iso, 3)
@@ -156,7 +157,9 @@ def parse_date(c, swap_iso: bool = False) -> Column:
     number = lambda at: F.when((at > 0) & (at % 4 == 1), ((at + 3) / 4).cast("int").cast("string"))
     by_name = _made(part(named, 3), number(_locate(part(named, 1))), part(named, 2))
     by_name2 = _made(part(named2, 3), number(_locate(part(named2, 2))), part(named2, 1))
-    return F.when(v.rlike(iso), by_iso).when(v.rlike(end), by_end).when(v.rlike(named), by_name).when(v.rlike(named2), by_name2)
+    some = F.length(whole).between(8, 40) & whole.rlike(r"\d{4}")  # most text fails here
+    plain = F.lit(not swap_iso) & (F.length(v) == 10) & v.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.when(~some, None).when(plain, v.try_cast("date")).when(v.rlike(iso), by_iso).when(v.rlike(end), by_end).when(v.rlike(named), by_name).when(v.rlike(named2), by_name2)
 
 
 def _locate(name: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -58,32 +59,63 @@ class Table:
     @cached_property
     def examples(self) -> dict[tuple[str, str], list]:
         """(kind, column) -> the first few values in question."""
-        cells = []
+        wanted: dict[str, list[int]] = {}
         for i, c in enumerate(self.columns):
-            p, text = self.profile[c], E.col(c).cast("string")
-            add = lambda kind, where, value, order=None: cells.append(F.when(F.coalesce(where, F.lit(False)), F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("i"), (order if order is not None else E.col(ROW)).cast("long").alias("o"), value.alias("v"))))  # noqa: B023, E731
-            if p.disguised:
-                add("missing", text.isNotNull() & E.is_disguised(text), text)
-            if p.filled >= V.MIXED_LEAST and p.numeric_detected < p.filled:
-                add("mixed", ~E.is_blank(text) & ~E.is_numeric_detected(text), text)
-            if p.outer_space:
-                add("space", E.has_outer_space(text), E.display(text))
-            if p.negative and _priced(c):
-                add("negative", E.num(text) < 0, F.concat(F.lit("Row "), E.col(ROW).cast("string"), F.lit(f" ({c}="), text, F.lit(")")))
-            if p.dates and len(p.signatures) > 1:
-                add("date", ~E.is_blank(text), text, F.xxhash64(E.col(ROW), F.lit(1)))
-        if not cells:
+            p = self.profile[c]
+            for kind, some in (
+                ("missing", p.disguised),
+                ("mixed", p.filled >= V.MIXED_LEAST and V.MIXED_SHARE * p.filled <= p.numeric_detected < p.filled),
+                ("space", p.outer_space),
+                ("negative", p.negative and _priced(c)),
+                ("date", p.date_share >= V.DATE_SHARE and len(p.signatures) > 1),
+            ):
+                if some:
+                    wanted.setdefault(kind, []).append(i)
+        if not wanted:
             return {}
-        flat = self.df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
-        distinct = flat.filter("kind = 'missing'").groupBy("kind", "i", "v").agg(F.min("o").alias("o")).select("kind", "i", "o", "v")
-        rest = flat.filter("kind != 'missing'").unionByName(distinct)
+        # columns as rows, so that the plan doesn't grow with their number
+        cells = self.df.select(E.col(ROW).alias("r"), F.posexplode(F.array(*(E.col(c).cast("string") for c in self.columns))).alias("i", "t"))
+        cells = cells.filter(F.col("t").isNotNull() & F.col("i").isin(*sorted({i for x in wanted.values() for i in x})))
+        cells = cells.select("r", "i", "t", E.strip("t").alias("s"), E.num("t").alias("n"))
+        asked = {
+            "missing": E.is_missing("s"),
+            "mixed": (F.col("s") != "") & F.col("n").isNull() & ~E.is_numeric_detected("s"),
+            "space": F.col("t") != F.col("s"),
+            "negative": F.col("n") < 0,
+            "date": F.col("s") != "",
+        }
+        place = {"date": F.xxhash64("r", F.lit(1))}
+        kinds = [F.when(F.col("i").isin(*at) & F.coalesce(asked[k], F.lit(False)), F.struct(F.lit(k).alias("kind"), place.get(k, F.col("r")).cast("long").alias("o"))) for k, at in wanted.items()]
+        flat = cells.select("i", "r", F.col("t").alias("v"), F.explode(F.array_compact(F.array(*kinds))).alias("x")).select("i", "r", "v", "x.*")
+        rest = flat.filter("kind != 'missing'")
+        if "missing" in wanted:
+            rest = rest.unionByName(flat.filter("kind = 'missing'").groupBy("kind", "i", "v").agg(F.min("o").alias("o"), F.min("r").alias("r")))
         # row_number() <= k is applied to each part before the shuffle
         top = rest.withColumn("k", F.row_number().over(Window.partitionBy("kind", "i").orderBy("o"))).filter("k <= 5")
+        shown = F.when(F.col("kind") == "space", E.display("v")).otherwise(F.col("v"))
         out: dict[tuple[str, str], list] = {}
-        for r in sorted(top.collect(), key=lambda r: r.k):
-            out.setdefault((r.kind, self.columns[r.i]), []).append(r.v)
+        for x in sorted(top.select("kind", "i", "r", "k", shown.alias("v")).collect(), key=lambda x: x.k):
+            c = self.columns[x.i]
+            out.setdefault((x.kind, c), []).append(f"Row {x.r} ({c}={x.v})" if x.kind == "negative" else x.v)
         return out
 
+    @cached_property
+    def duplicates(self) -> tuple[int, list[str]]:
+        """How many rows repeat earlier ones, and the first three of them."""
+        n = duplicates.count_duplicates(self.df)
+        if not n:
+            return 0, []
+        rows = duplicates.duplicate_flags(self.df).filter("_duplicate").orderBy(ROW).select(E.first_values(self.columns).alias("v")).limit(3).collect()
+        return n, [r.v for r in rows]
+
+    def look(self) -> None:
+        """Finds out what the rules ask for, with jobs that don't wait for each other side by side."""
+        with ThreadPoolExecutor(4) as pool:
+            repeats = pool.submit(lambda: self.duplicates)
+            _ = self.profile
+            for job in [repeats, *(pool.submit(getattr, self, name) for name in ("examples", "medians", "modes"))]:
+                job.result()
+
 
 def _priced(column: str) -> bool:
     return V.hinted(column, V.PRICE_HINTS) or V.hinted(column, V.QUANTITY_HINTS)
@@ -116,11 +148,10 @@ def detect_missing(table: Table) -> list[Issue]:
 
 
 def detect_duplicates(table: Table) -> list[Issue]:
-    n = duplicates.count_duplicates(table.df)
+    n, examples = table.duplicates
     if not n:
         return []
-    rows = duplicates.duplicate_flags(table.df).filter("_duplicate").orderBy(ROW).select(E.first_values(table.columns).alias("v")).limit(3).collect()
-    return [Issue(V.DUPLICATES, None, V.HIGH, V.AUTO, n, table.rows, [r.v for r in rows], f"Remove {n} duplicate rows (ignoring ID column), keep first occurrence", 1.0)]
+    return [Issue(V.DUPLICATES, None, V.HIGH, V.AUTO, n, table.rows, examples, f"Remove {n} duplicate rows (ignoring ID column), keep first occurrence", 1.0)]
 
 
 def detect_dates(table: Table) -> list[Issue]:
@@ -204,7 +235,10 @@ def register(detector: Callable[[Table], list[Issue]]) -> Callable[[Table], list
 
 def detect(table: Table) -> list[Issue]:
     """All issues, by severity and then in the order of the detectors. An empty table has none."""
-    if not table.columns or not table.rows:
+    if not table.columns:
+        return []
+    table.look()
+    if not table.rows:
         return []
     return by_severity([i for d in [*RULES, *(MODELS if table.models else [])] for i in d(table)])
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import ClassVar
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ from ..functions import exprs as E
 from ..functions import vocab as V
 from ..sources.tables import ROW
 
-#: Values between two bounds that the driver takes to find a median.
-MEDIAN_ROWS = 20_000
+#: Values between bounds that the driver takes to find medians, of all columns together.
+MEDIAN_ROWS = 400_000
 
 
 @dataclass
 class ColumnProfile:
+    COUNTS: ClassVar[tuple[str, ...]] = ("nulls", "disguised", "missing", "not_null", "filled", "numeric_detected", "numeric_present", "numeric_role", "outer_space", "negative", "dates")
     name: str
     rows: int
     nulls: int
@@ -64,44 +67,48 @@ SIGNATURES = ("YYYY-MM-DD", "MM/DD/YYYY", "YYYY/MM/DD", "MONTH DD YYYY", "OTHER"
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """One row with a struct for each column: every count that a rule needs, in one aggregation."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for c in data_columns(df):
-        text = E.col(c).cast("string")
-        missing, number, filled = E.is_missing(text), E.num(text), ~E.is_blank(text)
-        signature = F.when(filled, E.date_signature(text))
-        count = lambda p: F.count_if(F.coalesce(p, F.lit(False)))
-        aggs.append(
-            F.struct(
-                count(text.isNull()).alias("nulls"),
-                count(text.isNotNull() & E.is_disguised(text)).alias("disguised"),
-                count(missing).alias("missing"),
-                F.count(text).alias("not_null"),
-                count(filled).alias("filled"),
-                count(filled & E.is_numeric_detected(text)).alias("numeric_detected"),
-                count(~missing & number.isNotNull()).alias("numeric_present"),
-                count(filled & E.num_role(text).isNotNull()).alias("numeric_role"),
-                count(E.has_outer_space(text)).alias("outer_space"),
-                count(number < 0).alias("negative"),
-                count(filled & E.is_date(text)).alias("dates"),
-                F.array(*(count(signature == s) for s in SIGNATURES)).alias("signatures"),
-                F.coalesce(F.bool_and(number == F.floor(number)), F.lit(False)).alias("whole"),
-                F.avg(F.when(~missing, number)).alias("mean"),
-                F.min(number).alias("low"),
-                F.max(number).alias("high"),
-                F.stddev_pop(number).alias("std"),
-            ).alias(c)
-        )
-    return df.agg(*aggs)
+    """A row for each column (`i`, its place) with every count that a rule needs, in one aggregation.
+
+    Columns are turned into rows first, so that the plan is as small for many columns as for one and compiles as a whole;
+    each task sends one row a column. What several counts share is computed once a value.
+    """
+    yes = lambda p: F.coalesce(p, F.lit(False))
+    cells = df.select(F.posexplode(F.array(*(E.col(c).cast("string") for c in data_columns(df)))).alias("i", "t"))
+    cells = cells.select("i", "t", E.strip("t").alias("s"), E.num("t").alias("n"))
+    t, s, n = F.col("t"), F.col("s"), F.col("n")
+    filled = yes(s != "")
+    cells = cells.select("i", "t", "s", "n", E.is_missing(s).alias("m"), filled.alias("f"), yes(filled & (n.isNotNull() | E.is_numeric_detected(s))).alias("d"), yes(filled & E.is_date(s)).alias("y"), F.when(filled, E.date_signature(s)).alias("g"))
+    m = F.col("m")
+    return cells.groupBy("i").agg(
+        F.count("*").alias("rows"),
+        F.count_if(t.isNull()).alias("nulls"),
+        F.count_if(t.isNotNull() & m).alias("disguised"),
+        F.count_if(m).alias("missing"),
+        F.count(t).alias("not_null"),
+        F.count_if("f").alias("filled"),
+        F.count_if("d").alias("numeric_detected"),
+        F.count_if(~m & n.isNotNull()).alias("numeric_present"),
+        F.count_if(n.isNotNull() & ~E.has_middle_dash(s)).alias("numeric_role"),
+        F.count_if(yes(t != s)).alias("outer_space"),
+        F.count_if(yes(n < 0)).alias("negative"),
+        F.count_if("y").alias("dates"),
+        *(F.count_if(yes(F.col("g") == x)).alias(f"g{k}") for k, x in enumerate(SIGNATURES)),
+        F.coalesce(F.bool_and(n == F.floor(n)), F.lit(False)).alias("whole"),
+        F.avg(F.when(~m, n)).alias("mean"),
+        F.min(n).alias("low"),
+        F.max(n).alias("high"),
+        F.stddev_pop(n).alias("std"),
+    )
 
 
 def profile(df: DataFrame) -> dict[str, ColumnProfile]:
-    row = profile_columns(df).first()
+    columns = data_columns(df)
+    found = {r["i"]: r.asDict() for r in profile_columns(df).collect()} if columns else {}
     out = {}
-    for c in data_columns(df):
-        d = row[c].asDict()
-        signatures = {s: n for s, n in zip(SIGNATURES, d.pop("signatures")) if n}
-        out[c] = ColumnProfile(name=c, rows=row["_rows"], signatures=signatures, **d)
+    for i, c in enumerate(columns):
+        d = found.get(i) or {"rows": 0} | dict.fromkeys(ColumnProfile.COUNTS, 0) | dict.fromkeys(("mean", "low", "high", "std")) | {"whole": False}
+        signatures = {x: d[f"g{k}"] for k, x in enumerate(SIGNATURES) if d.get(f"g{k}")}
+        out[c] = ColumnProfile(name=c, signatures=signatures, **{k: v for k, v in d.items() if k != "i" and not (k[0] == "g" and k[1:].isdigit())})
     return out
 
 
@@ -116,8 +123,9 @@ def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]
     sizes = [first[f"n{i}"] for i in range(len(names))]
     low, high = [first[f"a{i}"] for i in range(len(names))], [first[f"b{i}"] for i in range(len(names))]
     below, inside, margin = [0] * len(names), list(sizes), [0.002] * len(names)
+    most = max(10, MEDIAN_ROWS // len(names))
     for _ in range(12):
-        wide = [i for i in range(len(names)) if inside[i] > MEDIAN_ROWS and low[i] < high[i]]
+        wide = [i for i in range(len(names)) if inside[i] > most and low[i] < high[i]]
         if not wide:
             break
         near = lambda i: F.when(F.col(f"v{i}").between(low[i], high[i]), F.col(f"v{i}"))
@@ -129,7 +137,7 @@ def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]
             l, m = n[f"l{i}"], n[f"m{i}"]
             if l <= (sizes[i] - 1) // 2 and l + m > sizes[i] // 2:
                 if (low[i], high[i]) == cut[i]:
-                    inside[i] = min(inside[i], MEDIAN_ROWS)  # one value fills the bounds, or nearly
+                    inside[i] = min(inside[i], most)  # one value fills the bounds, or nearly
                 low[i], high[i], below[i], inside[i] = *cut[i], l, min(m, inside[i])
             else:
                 margin[i] *= 8  # the estimate missed; the bounds before stand
@@ -141,15 +149,14 @@ def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]
     for i in some:
         part = data.filter(F.col(f"v{i}").between(low[i], high[i])).select(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"))
         stacked = part if stacked is None else stacked.unionByName(part)
-    counts: dict[int, list] = {i: [] for i in some}
-    for r in stacked.groupBy("i", "v").count().collect():
-        counts[r.i].append((r.v, r["count"]))
+    counts = stacked.groupBy("i", "v").count().toArrow()
+    column, value, number = (counts.column(k).to_numpy() for k in ("i", "v", "count"))
     for i in some:
-        want = [(sizes[i] - 1) // 2, sizes[i] // 2]
-        found, at = [], below[i]
-        for v, n in sorted(counts[i]):
-            found += [v for w in want if at <= w < at + n]
-            at += n
+        own = column == i
+        v, n = value[own], number[own]
+        order = np.argsort(v)
+        ends = below[i] + np.cumsum(n[order])
+        found = [float(v[order][np.searchsorted(ends, at, side="right")]) for at in ((sizes[i] - 1) // 2, sizes[i] // 2)]
         out[names[i]] = sum(found) / len(found)
     return out
 

@@ -119,9 +119,8 @@ def s_number_text(x: str, places: int = 2) -> str:
 
 @query(s_union(lambda c: f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} IS NOT NULL AND {s_missing(c)}) AS disguised, count(*) FILTER ({s_missing(c)}) AS missing, count(*) AS total FROM dirty"))
 def profile_missing(spark, sf_dir):
-    row = profile_columns(dirty_customer(spark, sf_dir))
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}.nulls").alias("nulls"), F.col(f"{c}.disguised").alias("disguised"), F.col(f"{c}.missing").alias("missing"), F.col("_rows").alias("total")) for c in COLUMNS))
-    return row.select(F.explode(cells).alias("s")).select("s.*")
+    names = F.array(*(F.lit(c) for c in COLUMNS))
+    return profile_columns(dirty_customer(spark, sf_dir)).select(F.get(names, F.col("i")).alias("column"), "nulls", "disguised", "missing", F.col("rows").alias("total"))
 
 
 @query(f"WITH p AS ({s_union(lambda c: f'''SELECT '{c}' AS col, count(*) FILTER ({s_missing(c)}) AS n, count(*) AS total FROM dirty''')}) SELECT col AS \"column\", CASE WHEN n > 0.3 * total THEN 'HIGH' WHEN n > 0.05 * total THEN 'MEDIUM' ELSE 'LOW' END AS severity, n AS affected FROM p WHERE n > 0")
