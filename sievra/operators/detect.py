@@ -96,7 +96,7 @@ class Table:
         out: dict[tuple[str, str], list] = {}
         for x in sorted(top.select("kind", "i", "r", "k", shown.alias("v")).collect(), key=lambda x: x.k):
             c = self.columns[x.i]
-            out.setdefault((x.kind, c), []).append(f"Row {x.r} ({c}={x.v})" if x.kind == "negative" else x.v)
+            out.setdefault((x.kind, c), []).append(V.text("row", row=x.r, column=c, value=x.v) if x.kind == "negative" else x.v)
         return out
 
     @cached_property
@@ -128,13 +128,13 @@ def severity_of(share: float) -> str:
 def missing_options(table: Table, c: str) -> list[FixOption]:
     """Ways to deal with missing values; the first is the recommended one."""
     p = table.profile[c]
-    drop = FixOption("Drop rows with missing values", "drop_rows", f"removes {p.missing} rows")
-    leave = FixOption("Leave empty (keep as blank)", "leave_empty", "")
+    drop = FixOption(V.text("drop_missing"), "drop_rows", V.text("removes", n=p.missing))
+    leave = FixOption(V.text("leave_empty"), "leave_empty", "")
     if p.mostly_numeric:
         median, mean = round(table.medians[c], 2), round(p.mean, 2)
-        return [FixOption(f"Fill with median ({median})", "fill_median", str(median)), FixOption(f"Fill with mean ({mean})", "fill_mean", str(mean)), leave, drop]
+        return [FixOption(V.text("fill_median", value=median), "fill_median", str(median)), FixOption(V.text("fill_mean", value=mean), "fill_mean", str(mean)), leave, drop]
     mode = table.modes[c]
-    fill = [FixOption(f"Fill with most common value ('{mode}')", "fill_mode", mode)] if mode else []
+    fill = [FixOption(V.text("fill_mode", value=mode), "fill_mode", mode)] if mode else []
     return [drop, *fill] if V.hinted(c, V.PERSON_HINTS) else [*fill, leave, drop]
 
 
@@ -142,8 +142,8 @@ def detect_missing(table: Table) -> list[Issue]:
     out = []
     for c, p in table.profile.items():
         if p.missing:
-            examples = table.examples.get(("missing", c)) or ["(empty)"]
-            out.append(Issue(V.MISSING, c, severity_of(p.missing / p.rows), V.SUGGEST, p.missing, p.rows, examples, f"{p.missing} missing values detected in '{c}'", 0.99, missing_options(table, c)))
+            examples = table.examples.get(("missing", c)) or [V.text("empty")]
+            out.append(Issue(V.MISSING, c, severity_of(p.missing / p.rows), V.SUGGEST, p.missing, p.rows, examples, V.text("missing", n=p.missing, column=c), 0.99, missing_options(table, c)))
     return out
 
 
@@ -151,7 +151,7 @@ def detect_duplicates(table: Table) -> list[Issue]:
     n, examples = table.duplicates
     if not n:
         return []
-    return [Issue(V.DUPLICATES, None, V.HIGH, V.AUTO, n, table.rows, examples, f"Remove {n} duplicate rows (ignoring ID column), keep first occurrence", 1.0)]
+    return [Issue(V.DUPLICATES, None, V.HIGH, V.AUTO, n, table.rows, examples, V.text("duplicates", n=n), 1.0)]
 
 
 def detect_dates(table: Table) -> list[Issue]:
@@ -159,7 +159,7 @@ def detect_dates(table: Table) -> list[Issue]:
     for c, p in table.profile.items():
         if p.date_share >= V.DATE_SHARE and len(p.signatures) > 1:
             n = p.filled - max(p.signatures.values())
-            out.append(Issue(V.DATES, c, V.HIGH, V.AUTO, n, p.rows, table.examples.get(("date", c), []), f"Normalize all dates in '{c}' to ISO 8601: YYYY-MM-DD", round(p.date_share, 2)))
+            out.append(Issue(V.DATES, c, V.HIGH, V.AUTO, n, p.rows, table.examples.get(("date", c), []), V.text("dates", column=c), round(p.date_share, 2)))
     return out
 
 
@@ -169,14 +169,14 @@ def detect_mixed(table: Table) -> list[Issue]:
         share = p.numeric_detected / p.filled if p.filled else 0.0
         if p.filled >= V.MIXED_LEAST and V.MIXED_SHARE <= share < 1:
             n = p.filled - p.numeric_detected
-            options = [FixOption("Set non-numeric values to empty", "coerce_null", "blank"), FixOption("Drop rows with non-numeric values", "drop_rows", f"removes {n} rows"), FixOption("Keep as text column", "keep_as_text", "no change")]
-            out.append(Issue(V.MIXED, c, V.HIGH, V.SUGGEST, n, p.rows, table.examples.get(("mixed", c), []), f"'{c}' is {round(share * 100)}% numeric — {n} non-numeric values need a decision", round(share, 2), options))
+            options = [FixOption(V.text("coerce_null"), "coerce_null", V.text("blank")), FixOption(V.text("drop_text"), "drop_rows", V.text("removes", n=n)), FixOption(V.text("keep_as_text"), "keep_as_text", V.text("no_change"))]
+            out.append(Issue(V.MIXED, c, V.HIGH, V.SUGGEST, n, p.rows, table.examples.get(("mixed", c), []), V.text("mixed", column=c, share=round(share * 100), n=n), round(share, 2), options))
     return out
 
 
 def detect_whitespace(table: Table) -> list[Issue]:
     return [
-        Issue(V.WHITESPACE, c, V.LOW, V.AUTO, p.outer_space, p.rows, table.examples.get(("space", c), []), f"Strip whitespace from {p.outer_space} values in '{c}'", 1.0)
+        Issue(V.WHITESPACE, c, V.LOW, V.AUTO, p.outer_space, p.rows, table.examples.get(("space", c), []), V.text("whitespace", n=p.outer_space, column=c), 1.0)
         for c, p in table.profile.items()
         if p.outer_space
     ]
@@ -186,8 +186,8 @@ def detect_negative(table: Table) -> list[Issue]:
     out = []
     for c, p in table.profile.items():
         if p.negative and _priced(c):
-            options = [FixOption("Drop rows with negative values", "drop_rows", f"removes {p.negative} rows"), FixOption("Convert to absolute value", "abs_values", "e.g. -15.00 → 15.00"), FixOption("Keep and flag only", "keep", "no change")]
-            out.append(Issue(V.NEGATIVE, c, V.HIGH, V.SUGGEST, p.negative, p.rows, table.examples.get(("negative", c), [])[:3], f"{p.negative} negative values in '{c}' — likely data entry errors", 0.95, options))
+            options = [FixOption(V.text("drop_negative"), "drop_rows", V.text("removes", n=p.negative)), FixOption(V.text("abs_values"), "abs_values", V.text("abs_preview")), FixOption(V.text("keep"), "keep", V.text("no_change"))]
+            out.append(Issue(V.NEGATIVE, c, V.HIGH, V.SUGGEST, p.negative, p.rows, table.examples.get(("negative", c), [])[:3], V.text("negative", n=p.negative, column=c), 0.95, options))
     return out
 
 
@@ -206,8 +206,8 @@ def detect_anomalies(table: Table) -> list[Issue]:
     if not total.n:
         return []
     some = rows.orderBy(ROW).limit(5).collect()
-    options = [FixOption("Drop anomalous rows", "drop_rows", f"removes {total.n} rows"), FixOption("Keep and flag only", "keep", "no change")]
-    return [Issue(V.ANOMALY, None, V.HIGH, V.SUGGEST, total.n, table.rows, [f"Row {r[ROW]} (score={round(r.score, 3)})" for r in some], f"{total.n} statistically anomalous rows detected across {', '.join(cols)}", round(total.least, 3), options)]
+    options = [FixOption(V.text("drop_anomalies"), "drop_rows", V.text("removes", n=total.n)), FixOption(V.text("keep"), "keep", V.text("no_change"))]
+    return [Issue(V.ANOMALY, None, V.HIGH, V.SUGGEST, total.n, table.rows, [V.text("score", row=r[ROW], score=round(r.score, 3)) for r in some], V.text("anomalies", n=total.n, columns=", ".join(cols)), round(total.least, 3), options)]
 
 
 def detect_fuzzy(table: Table) -> list[Issue]:
@@ -217,8 +217,8 @@ def detect_fuzzy(table: Table) -> list[Issue]:
             total = fuzzy.pair_counts(table.df, c, table.fuzzy_threshold).first()
             if total.pairs:
                 top = fuzzy.value_pairs(table.df, c, table.fuzzy_threshold).orderBy(F.desc("similarity"), "value_a", "value_b").limit(4).collect()
-                examples = [f'"{r.value_a}" ≈ "{r.value_b}" ({round(r.similarity * 100)}%)' for r in top]
-                out.append(Issue(V.FUZZY, c, V.MEDIUM, V.FLAG_ONLY, total.pairs * 2, table.rows, examples, f"{total.pairs} near-duplicate pairs found in '{c}' — review manually", round(total.similarity, 3)))
+                examples = [V.text("pair", a=r.value_a, b=r.value_b, percent=round(r.similarity * 100)) for r in top]
+                out.append(Issue(V.FUZZY, c, V.MEDIUM, V.FLAG_ONLY, total.pairs * 2, table.rows, examples, V.text("fuzzy", n=total.pairs, column=c), round(total.similarity, 3)))
     return out
 
 
