@@ -1,7 +1,7 @@
 """Near-duplicate values of a column: a similarity join that meets pairs by shared tokens.
 
 The similarity is 0.4 * edit similarity + 0.6 * token overlap. Values without a common token reach 0.4 at most, so for
-any threshold above that the pairs that can qualify share a token, or both have none. Values are compared once however
+any threshold above that (others are refused) the pairs that can qualify share a token, or both have none. Values are compared once however
 often they occur; a pair meets under each common token and is kept under the smallest of those it has. Tokens that very
 many values share are dealt by both sides' hash chunks, so that no task holds all pairs of a token.
 """
@@ -25,21 +25,19 @@ def value_pairs(df: DataFrame, column: str, threshold: float = V.FUZZY_THRESHOLD
     values = values.withColumn("norm", E.fuzzy_norm("v"))
     values = values.withColumn("tokens", F.sort_array(E.fuzzy_tokens(F.col("norm"))))
     if threshold <= 0.4:
-        left, right = values, values
-        pairs = left.select(*(F.col(c).alias(f"{c}_a") for c in left.columns)).join(right.select(*(F.col(c).alias(f"{c}_b") for c in right.columns)), F.col("v_a") < F.col("v_b"))
-    else:
-        posted = values.withColumn("token", F.explode(F.when(F.size("tokens") == 0, F.array(F.lit(NONE))).otherwise(F.col("tokens"))))
-        long_ = posted.groupBy("token").count().filter(F.col("count") > CHUNK).select("token", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-        posted = posted.join(long_, "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        own = F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")
-        every = F.sequence(F.lit(0), F.col("chunks") - 1)
-        a = posted.withColumn("i", own).withColumn("j", F.explode(every)).select("token", "i", "j", *(F.col(c).alias(f"{c}_a") for c in values.columns))
-        b = posted.withColumn("j", own).withColumn("i", F.explode(every)).select("token", "i", "j", *(F.col(c).alias(f"{c}_b") for c in values.columns))
-        pairs = a.join(b, ["token", "i", "j"]).filter("v_a < v_b")
-        # under the first common token only, and only where the overlap can be enough
-        common = F.array_intersect("tokens_a", "tokens_b")
-        pairs = pairs.filter((F.size(common) == 0) | (F.get(common, F.lit(0)) == F.col("token")))
-        pairs = pairs.filter(E.jaccard(F.col("tokens_a"), F.col("tokens_b")) >= (threshold - 0.4) / 0.6 - 1e-12)
+        raise ValueError("at 0.4 or below, values without a common token can qualify, and all pairs would have to be compared")
+    posted = values.withColumn("token", F.explode(F.when(F.size("tokens") == 0, F.array(F.lit(NONE))).otherwise(F.col("tokens"))))
+    long_ = posted.groupBy("token").count().filter(F.col("count") > CHUNK).select("token", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    posted = posted.join(long_, "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    a = posted.withColumn("i", own).withColumn("j", F.explode(every)).select("token", "i", "j", *(F.col(c).alias(f"{c}_a") for c in values.columns))
+    b = posted.withColumn("j", own).withColumn("i", F.explode(every)).select("token", "i", "j", *(F.col(c).alias(f"{c}_b") for c in values.columns))
+    pairs = a.join(b, ["token", "i", "j"]).filter("v_a < v_b")
+    # under the first common token only, and only where the overlap can be enough
+    common = F.array_intersect("tokens_a", "tokens_b")
+    pairs = pairs.filter((F.size(common) == 0) | (F.get(common, F.lit(0)) == F.col("token")))
+    pairs = pairs.filter(E.jaccard(F.col("tokens_a"), F.col("tokens_b")) >= (threshold - 0.4) / 0.6 - 1e-12)
     if not case_pairs:
         pairs = pairs.filter(F.lower("v_a") != F.lower("v_b"))
     sim = 0.4 * E.edit_similarity(F.col("norm_a"), F.col("norm_b"), F.col("v_a"), F.col("v_b")) + 0.6 * E.jaccard(F.col("tokens_a"), F.col("tokens_b"))

@@ -172,6 +172,12 @@ def modes(df: DataFrame, values: dict[str, Column]) -> dict[str, str | None]:
     return {name: found.get(i) for i, name in enumerate(values)}
 
 
+def sample_values(df: DataFrame, column: str, n: int = 5) -> list[str]:
+    """Up to n different values that aren't blank, those that come first by row id."""
+    rows = df.filter(~E.is_blank(column)).groupBy(E.col(column).alias("v")).agg(F.min(ROW).alias("r"))
+    return [r.v for r in rows.orderBy("r").limit(n).collect()]
+
+
 def baseline(df: DataFrame) -> DataFrame:
     """(column, nulls, disguised, not_numeric) for each column, and whole-row repeats under `_rows`."""
     cols = data_columns(df)

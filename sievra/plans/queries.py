@@ -17,7 +17,7 @@ from ..functions import exprs as E
 from ..functions import vocab as V
 from ..operators import duplicates, evaluate, fuzzy, models, repair
 from ..operators.detect import Table, analyze
-from ..operators.profile import baseline, medians, modes, profile_columns
+from ..operators.profile import baseline, medians, modes, profile_columns, sample_values
 from ..sources import datagen
 from ..sources.tables import ROW, complete_rows, doubles, read_csv, texts, with_row_ids, write_csv, write_json
 from ..streaming import quality
@@ -311,11 +311,11 @@ def complete_case_matrix(spark, sf_dir):
     return df.select("id", F.round("acct_amount", 6).alias("acct_amount"), F.round("age", 6).alias("age"))
 
 
-@query(f"{CTE} SELECT count(*) AS n, count({s_num('age')}) AS numbers, count(*) FILTER (coalesce(name, '') = '') AS empty FROM dirty")
+@query(f"{CTE} SELECT 'numbers' AS kind, count({s_num('age')}) AS n FROM dirty UNION ALL SELECT 'empty', count(*) FILTER (coalesce(name, '') = '') FROM dirty")
 def text_and_number_columns(spark, sf_dir):
     df = dirty_customer(spark, sf_dir)
-    a = doubles(df, ["age"]).agg(F.count("*").alias("n"), F.count("age").alias("numbers"))
-    return a.crossJoin(texts(df, ["name"]).agg(F.count_if(F.col("name") == "").alias("empty")))  # one row each
+    numbers = doubles(df, ["age"]).agg(F.lit("numbers").alias("kind"), F.count("age").alias("n"))
+    return numbers.unionByName(texts(df, ["name"]).agg(F.lit("empty").alias("kind"), F.count_if(F.col("name") == "").alias("n")))
 
 
 @query("SELECT l_returnflag, round(avg((l_extendedprice - a) / (b - a)), 6) AS price, round(avg((l_quantity - c) / (d - c)), 6) AS quantity, count(*) AS n FROM lineitem, (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b, min(l_quantity) AS c, max(l_quantity) AS d FROM lineitem) GROUP BY 1")
@@ -390,26 +390,35 @@ _PAIRS = (
 )
 
 
-def _name_pairs(spark, sf_dir) -> DataFrame:
-    names = load(spark, sf_dir, "part").select(F.col("p_name").alias("v")).distinct()
-    return names.select(F.col("v").alias("value_a")).join(names.select(F.col("v").alias("value_b")), F.col("value_a") < F.col("value_b"))  # names are few by the table's making
+def s_norm(v: str) -> str:
+    return _NORM.replace("(v,", f"({v},")
 
 
-@query(f"WITH {_PAIRS} SELECT value_a, value_b, round(edit, 6) AS similarity FROM p")
+def s_tokens(v: str) -> str:
+    return _TOK.replace("(v,", f"({v},")
+
+
+_EDIT = f"1 - levenshtein({s_norm('p_name')}, {s_norm('p_type')}) / greatest(strlen(p_name), strlen(p_type))"
+_JAC = f"len(list_intersect({s_tokens('p_name')}, {s_tokens('p_type')})) / len(list_distinct(list_concat({s_tokens('p_name')}, {s_tokens('p_type')})))"
+
+
+def _rows_compared(spark, sf_dir, similarity) -> DataFrame:
+    return load(spark, sf_dir, "part").select("p_partkey", F.round(similarity, 6).alias("similarity"))
+
+
+@query(f"SELECT p_partkey, round({_EDIT}, 6) AS similarity FROM part")
 def levenshtein_sim(spark, sf_dir):
-    x = E.edit_similarity(E.fuzzy_norm("value_a"), E.fuzzy_norm("value_b"), F.col("value_a"), F.col("value_b"))
-    return _name_pairs(spark, sf_dir).select("value_a", "value_b", F.round(x, 6).alias("similarity"))
+    return _rows_compared(spark, sf_dir, E.edit_similarity(E.fuzzy_norm("p_name"), E.fuzzy_norm("p_type"), F.col("p_name"), F.col("p_type")))
 
 
-@query(f"WITH {_PAIRS} SELECT value_a, value_b, round(jac, 6) AS similarity FROM p")
+@query(f"SELECT p_partkey, round({_JAC}, 6) AS similarity FROM part")
 def token_jaccard(spark, sf_dir):
-    x = E.jaccard(E.fuzzy_tokens(E.fuzzy_norm("value_a")), E.fuzzy_tokens(E.fuzzy_norm("value_b")))
-    return _name_pairs(spark, sf_dir).select("value_a", "value_b", F.round(x, 6).alias("similarity"))
+    return _rows_compared(spark, sf_dir, E.jaccard(E.fuzzy_tokens(E.fuzzy_norm("p_name")), E.fuzzy_tokens(E.fuzzy_norm("p_type"))))
 
 
-@query(f"WITH {_PAIRS} SELECT value_a, value_b, round(0.4 * edit + 0.6 * jac, 6) AS similarity FROM p")
+@query(f"SELECT p_partkey, round(0.4 * ({_EDIT}) + 0.6 * ({_JAC}), 6) AS similarity FROM part")
 def fuzzy_sim(spark, sf_dir):
-    return _name_pairs(spark, sf_dir).select("value_a", "value_b", F.round(E.fuzzy_similarity("value_a", "value_b"), 6).alias("similarity"))
+    return _rows_compared(spark, sf_dir, E.fuzzy_similarity("p_name", "p_type"))
 
 
 @query(f"WITH {_PAIRS} SELECT value_a, value_b, round(0.4 * edit + 0.6 * jac, 6) AS similarity FROM p WHERE 0.4 * edit + 0.6 * jac >= 0.45 AND lower(value_a) <> lower(value_b)")
@@ -544,6 +553,52 @@ def recommended_selection(spark, sf_dir):
     return spark.createDataFrame(rows, "column string, issue_type string")
 
 
+@query(f"{CTE} SELECT id, name FROM dirty WHERE NOT {s_missing('name')}")
+def required_name(spark, sf_dir):
+    return repair.require_name(dirty_customer(spark, sf_dir), "name").select("id", "name")
+
+
+@query(f"{CTE}, n AS (SELECT {s_date('join_date')} AS d FROM dirty) SELECT count(*) AS filled, count(*) FILTER (TRY_CAST(d AS DATE) IS NOT NULL) AS dates, count(*) FILTER (TRY_CAST(d AS DATE) IS NOT NULL) >= 0.7 * count(*) AS is_date_column FROM n")
+def date_role(spark, sf_dir):
+    df = dirty_customer(spark, sf_dir).filter(~E.is_blank("join_date"))
+    counts = df.agg(F.count("*").alias("filled"), F.count_if(E.is_date("join_date")).alias("dates"))
+    return counts.withColumn("is_date_column", F.col("dates") >= V.DATE_SHARE * F.col("filled"))
+
+
+@query(f"SELECT p_partkey, {s_norm('p_name')} AS norm, CAST(len({s_tokens('p_name')}) AS INTEGER) AS tokens FROM part")
+def fuzzy_normalised(spark, sf_dir):
+    df = load(spark, sf_dir, "part").select("p_partkey", E.fuzzy_norm("p_name").alias("norm"))
+    return df.select("p_partkey", "norm", F.size(E.fuzzy_tokens(F.col("norm"))).alias("tokens"))
+
+
+@query("SELECT c_custkey, round(greatest(0, x), 6) AS relu, round(1 / (1 + exp(-x)), 6) AS sigmoid, round((1 / (1 + exp(-x))) * (1 - 1 / (1 + exp(-x))), 6) AS slope, round((x * x + (x - 1) * (x - 1)) / 2, 6) AS mse FROM (SELECT c_custkey, c_acctbal / 1000 AS x FROM customer)")
+def activations(spark, sf_dir):
+    x = F.col("c_acctbal") / 1000
+    cells = {"relu": E.relu(x), "sigmoid": E.sigmoid(x), "slope": E.sigmoid_slope(x), "mse": E.mse([x, x], [F.lit(0.0), F.lit(1.0)])}
+    return load(spark, sf_dir, "customer").select("c_custkey", *(F.round(v, 6).alias(k) for k, v in cells.items()))
+
+
+@query(f"{CTE} SELECT id, age FROM dirty WHERE coalesce({s_num('acct_amount')}, 0) <= 9000")
+def drop_listed_rows(spark, sf_dir):
+    """An anti-join by row id, as for anomalous rows."""
+    df = dirty_customer(spark, sf_dir)
+    return repair.fix_anomalies(df, "drop_rows", df.filter(E.num("acct_amount") > 9000).select(ROW)).select("id", "age")
+
+
+@query(f"WITH d AS (SELECT doc_id, {_WORDS} AS w, CASE WHEN doc_id % 10 <> 0 THEN n_chars END AS n FROM documents), f AS (SELECT regr_slope(n, w) AS a, regr_intercept(n, w) AS b FROM d WHERE n IS NOT NULL) SELECT doc_id, coalesce(CAST(n AS DOUBLE), round(a * w + b, 1)) AS n_chars FROM d, f")
+def fill_predicted(spark, sf_dir):
+    """Imputed cells joined back to their rows."""
+    df = load(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW), F.size(F.split("text", " ")).cast("string").alias("words"), F.when(F.col("doc_id") % 10 != 0, F.col("n_chars")).cast("string").alias("n"))
+    found = models.impute(df, models.fit_regressor(df, "n", ["words"])).select(F.col(ROW).alias("row"), F.lit("n").alias("column"), "predicted_value")
+    return models.fill_imputed(df, found).select(F.col(ROW).alias("doc_id"), F.round(F.col("n").cast("double"), 1).alias("n_chars"))
+
+
+@query(f"{CTE}, r AS (SELECT segment, min(k) AS k FROM dirty WHERE {s_filled('segment')} GROUP BY 1) SELECT segment AS example, row_number() OVER (ORDER BY k) AS place FROM r ORDER BY k LIMIT 5")
+def first_distinct_values(spark, sf_dir):
+    found = sample_values(dirty_customer(spark, sf_dir), "segment")
+    return spark.createDataFrame([(x, i + 1) for i, x in enumerate(found)], "example string, place long")
+
+
 # --- files, generator, streams
 
 

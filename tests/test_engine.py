@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievra.api import Service
+from sievra.functions import exprs as E
 from sievra.functions import vocab as V
 from sievra.operators import duplicates, evaluate, fuzzy, models, repair
 from sievra.operators.detect import Table, analyze, analyze_csv, numeric_columns
@@ -213,7 +214,10 @@ def test_fuzzy_join_loses_nothing(spark, monkeypatch):
     words = ["ann", "bob", "cat", "dog", "", "--", "x1"]
     vals = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(0, 4))) + rng.choice(["", ".", "!"]) for _ in range(120)} | {"ANN", "ann"})
     df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "v string")
-    whole = {(r.value_a, r.value_b) for r in fuzzy.value_pairs(df, "v", 0.3).filter("similarity >= 0.45").collect()}
+    all_pairs = spark.createDataFrame([(a, b) for a in vals for b in vals if a and b and a < b and a.lower() != b.lower()], "a string, b string")
+    whole = {(r.a, r.b) for r in all_pairs.filter(E.fuzzy_similarity("a", "b") >= 0.45).collect()}
+    with pytest.raises(ValueError):
+        fuzzy.value_pairs(df, "v", 0.4)
     assert {(r.value_a, r.value_b) for r in fuzzy.value_pairs(df, "v").collect()} == whole
     monkeypatch.setattr(fuzzy, "CHUNK", 7)
     assert {(r.value_a, r.value_b) for r in fuzzy.value_pairs(df, "v").collect()} == whole
