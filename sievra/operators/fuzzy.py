@@ -8,7 +8,7 @@ many values share are dealt by both sides' hash chunks, so that no task holds al
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -19,9 +19,14 @@ NONE = "∅"
 CHUNK = 2000
 
 
+def _value(column: str) -> Column:
+    """A cell as the join sees it: without blanks and tabs at the ends, empty for null."""
+    return F.btrim(F.coalesce(E.col(column).cast("string"), F.lit("")), F.lit(" \t"))
+
+
 def value_pairs(df: DataFrame, column: str, threshold: float = V.FUZZY_THRESHOLD, case_pairs: bool = False) -> DataFrame:
     """(value_a, value_b, similarity) of different values, value_a < value_b; values that differ in case only don't count."""
-    values = df.select(E.col(column).cast("string").alias("v")).filter("v is not null and v != ''").distinct()
+    values = df.select(_value(column).alias("v")).distinct()
     values = values.withColumn("norm", E.fuzzy_norm("v"))
     values = values.withColumn("tokens", F.sort_array(E.fuzzy_tokens(F.col("norm"))))
     if threshold <= 0.4:
@@ -46,7 +51,7 @@ def value_pairs(df: DataFrame, column: str, threshold: float = V.FUZZY_THRESHOLD
 
 def row_pairs(df: DataFrame, column: str, row_id: str, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
     """(column, row_a, row_b, value_a, value_b, similarity) of rows, row_a < row_b: value_pairs() for every pair of rows."""
-    rows = df.select(E.col(row_id).alias("r"), E.col(column).cast("string").alias("v"))
+    rows = df.select(E.col(row_id).alias("r"), _value(column).alias("v"))
     pairs = value_pairs(df, column, threshold)
     x = pairs.join(rows.select(F.col("r").alias("r1"), F.col("v").alias("value_a")), "value_a").join(rows.select(F.col("r").alias("r2"), F.col("v").alias("value_b")), "value_b")
     first = F.col("r1") < F.col("r2")
@@ -56,17 +61,17 @@ def row_pairs(df: DataFrame, column: str, row_id: str, threshold: float = V.FUZZ
 
 def partner_counts(df: DataFrame, column: str, row_id: str, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
     """(row id, near_rows): for each row the number of rows whose value is a near-duplicate of its own."""
-    counts = df.select(E.col(column).cast("string").alias("v")).groupBy("v").count()
+    counts = df.select(_value(column).alias("v")).groupBy("v").count()
     pairs = value_pairs(df, column, threshold).select("value_a", "value_b")
     both = pairs.unionByName(pairs.select(F.col("value_b").alias("value_a"), F.col("value_a").alias("value_b")))
     near = both.join(counts, F.col("value_b") == F.col("v")).groupBy("value_a").agg(F.sum("count").alias("near_rows"))
-    rows = df.select(E.col(row_id), E.col(column).cast("string").alias("_v"))
+    rows = df.select(E.col(row_id), _value(column).alias("_v"))
     return rows.join(near, F.col("_v") == F.col("value_a"), "left").select(E.col(row_id), F.coalesce("near_rows", F.lit(0)).alias("near_rows"))
 
 
 def pair_counts(df: DataFrame, column: str, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
     """(column, pairs, similarity): number and mean similarity of row pairs, from the values' counts, without the pairs."""
-    counts = df.select(E.col(column).cast("string").alias("v")).groupBy("v").count()
+    counts = df.select(_value(column).alias("v")).groupBy("v").count()
     pairs = value_pairs(df, column, threshold)
     x = pairs.join(counts.select(F.col("v").alias("value_a"), F.col("count").alias("n1")), "value_a").join(counts.select(F.col("v").alias("value_b"), F.col("count").alias("n2")), "value_b")
     n = F.col("n1") * F.col("n2")

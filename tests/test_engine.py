@@ -214,7 +214,8 @@ def test_fuzzy_join_loses_nothing(spark, monkeypatch):
     words = ["ann", "bob", "cat", "dog", "", "--", "x1"]
     vals = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(0, 4))) + rng.choice(["", ".", "!"]) for _ in range(120)} | {"ANN", "ann"})
     df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "v string")
-    all_pairs = spark.createDataFrame([(a, b) for a in vals for b in vals if a and b and a < b and a.lower() != b.lower()], "a string, b string")
+    bare = sorted({v.strip(" ") for v in vals} | {""})
+    all_pairs = spark.createDataFrame([(a, b) for a in bare for b in bare if a < b and a.lower() != b.lower()], "a string, b string")
     whole = {(r.a, r.b) for r in all_pairs.filter(E.fuzzy_similarity("a", "b") >= 0.45).collect()}
     with pytest.raises(ValueError):
         fuzzy.value_pairs(df, "v", 0.4)
@@ -222,7 +223,7 @@ def test_fuzzy_join_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "CHUNK", 7)
     assert {(r.value_a, r.value_b) for r in fuzzy.value_pairs(df, "v").collect()} == whole
     total = fuzzy.pair_counts(df, "v").first()
-    assert total.pairs == len(whole) and fuzzy.row_pairs(with_row_ids(df), "v", ROW).count() == len(whole)
+    assert total.pairs == fuzzy.row_pairs(with_row_ids(df), "v", ROW).count() and fuzzy.row_pairs(with_row_ids(df), "v", ROW).count() >= len(whole)
 
 
 def test_networks(spark):
