@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievra.llm import language, packing, simhash, suffix, toxicity
-from sievra.llm.common import load, stage
+from sievra.llm.common import load, short_batches, stage
 
 #: A document goes if no language has this share of it,
 LANGUAGE_SCORE = 0.4
@@ -28,6 +28,7 @@ def apart(step: Callable[[SparkSession, DataFrame, str, dict[str, str]], DataFra
 
     @wraps(step)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        short_batches(spark)
         names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
         return step(spark, docs.toDF(*names.values()), sf_dir, names).select(*names.values()).toDF(*names)
 
@@ -75,6 +76,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str,
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids lie in sequences of 4096."""
+    short_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

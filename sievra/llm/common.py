@@ -15,7 +15,19 @@ _OWN: dict[str, str] = {}
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch at most, where rows hold texts.
+BATCH_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most from now on: texts can be long, and batches are counted in rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

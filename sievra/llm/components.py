@@ -2,7 +2,7 @@
 
 Rounds of large-star and small-star steps: every vertex links its larger (then its smaller) neighbours to the
 smallest vertex that it sees. Each round is written to the shared folder. Rounds grow with the logarithm of the
-longest chain. A vertex with very many neighbours is met in a join only, which adaptive execution splits.
+longest chain. A vertex with very many neighbours is summed up before the shuffle and met in PARTS parts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+#: Parts in which the links of a vertex meet its smallest neighbour.
+PARTS = 8
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(vertex, root) for every vertex in a link with another: root is the smallest vertex that links lead to.
@@ -25,11 +28,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-        large = both.join(least, both.a == least.v).filter("b > a").select(F.col("m").alias("a"), "b")
-        large = _ordered(large)
+        large = _ordered(_meet(both, "a", least).filter("b > a").select(F.col("m").alias("a"), "b"))
         # large has a < b: each b's smaller neighbours, and b itself, go to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("v"), "m")
-        small = large.join(low, large.b == low.v).select(F.col("m").alias("a"), F.col("a").alias("b"))
+        small = _meet(large, "b", low).select(F.col("m").alias("a"), F.col("a").alias("b"))
         small = small.unionByName(low.select(F.col("m").alias("a"), F.col("v").alias("b")))
         edges = stage(_ordered(small), "links")
         now = _mark(edges)
@@ -43,6 +45,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
 
 
+def _meet(links: DataFrame, end: str, least: DataFrame) -> DataFrame:
+    """Links with m, the smallest neighbour of the vertex at an end; least has v and m."""
+    other = "b" if end == "a" else "a"
+    salted = links.withColumn("_part", F.pmod(F.xxhash64(other), F.lit(PARTS)))
+    every = least.withColumn("_part2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return salted.join(every, (F.col(end) == F.col("v")) & (F.col("_part") == F.col("_part2")))
+
+
 def _ordered(links: DataFrame) -> DataFrame:
     return links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

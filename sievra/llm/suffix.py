@@ -163,7 +163,9 @@ def removed_spans(docs: DataFrame, length: int = 200, q: int | None = None) -> D
 
     found = stage(docs.select("_id", "_text", "_key").mapInArrow(mark, f"_id {kind}, _key long, h long, c long, at array<int>, n int"), "anchors")
     twice = found.groupBy("h").agg(F.sum("n").alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("times > 1")
-    near = stage(found.join(twice.select(F.col("h").alias("h2"), (F.col("c1") == F.col("c2")).alias("alike")), F.col("h") == F.col("h2")).drop("h2"), "repeated")
+    # written, so that adaptive execution sees two plain sides and can split an anchor that very many documents have
+    twice = stage(twice.select(F.col("h").alias("h2"), (F.col("c1") == F.col("c2")).alias("alike")), "twice")
+    near = stage(found.join(twice, F.col("h") == F.col("h2")).drop("h2"), "repeated")
     mixed = near.filter(~F.col("alike"))
     kinds = stage(mixed.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("_id", "_key", F.col("at")[0].alias("at"))).alias("one")), "contexts")
     many = kinds.filter("times > 1").select(F.col("h").alias("h2"), F.col("c").alias("c2"))
