@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 from sievra.llm import language, packing, simhash, suffix, toxicity
 from sievra.llm.common import load, short_batches, stage
 
-#: A document goes if no language has this share of it,
-LANGUAGE_SCORE = 0.4
-#: or if it is toxic with this probability.
+#: A document goes if it is toxic with this probability.
 TOXIC_SCORE = 0.7
 
 
@@ -37,11 +35,11 @@ def apart(step: Callable[[SparkSession, DataFrame, str, dict[str, str]], DataFra
 
 @apart
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str, str]) -> DataFrame:
-    """Rejects documents without a language. Where lang is null, the language found is filled in."""
+    """Rejects documents without a language; those in several stay. Where lang is null, the language found is filled in."""
     text, lang = at["text"], at["lang"]
     model = language.learn(docs, text_col=text, lang_col=lang)
     found = language.identify(docs, model, keep=docs.columns, text_col=text)
-    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
+    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
     return kept.withColumn(lang, F.coalesce(lang, "lang_pred"))
 
 
