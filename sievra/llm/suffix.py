@@ -173,7 +173,7 @@ def removed_spans(docs: DataFrame, length: int = 200, q: int | None = None) -> D
     # a context may be cut short by the ends of its document; where too little is left no string fits, but then it is none of an anchor
     spans = whole.select("_id", "_key", F.explode("at").alias("p")).select("_id", "_key", F.greatest(F.col("p") - reach, F.lit(0)).alias("start"), (F.col("p") + length).alias("end"))
 
-    crowded = kinds.groupBy("h").count().filter(F.col("count") > HOT).select(F.col("h").alias("h2"))
+    crowded = stage(kinds.groupBy("h").count().filter(F.col("count") > HOT).select(F.col("h").alias("h2")), "crowded")
     hot = bool(crowded.head(1))
     examples = kinds.select("h", "one.*")
     if hot:
