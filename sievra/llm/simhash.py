@@ -210,6 +210,6 @@ def near_duplicates(
     classes = stage(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     found = components(links(classes, sets, max_bits, matches, bits // 8))
     rooted = classes.join(found, classes.fp == found.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    names = stage(rooted.groupBy("root").agg(F.min("least").alias("component")), "names")  # a plain side, so that large components can be split
     named = rooted.join(names, "root").select(F.col("fp").alias("_fp"), "component")
     return fps.join(named, fps.fp == named["_fp"], "left").select(id_col, "fp", "component")
