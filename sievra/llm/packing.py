@@ -34,8 +34,9 @@ from .bpe import byte_letters
 from .common import in_pieces, stage, text_or_empty
 
 CACHE = 300_000
-#: Pieces of one length and bucket are ranked together; buckets are this many per hot length.
-BUCKETS = 64
+#: Pieces of one length and bucket are ranked together. There are BUCKETS buckets, or more, so that even if all pieces
+#: had one length, a bucket would hold about BUCKET_ROWS.
+BUCKETS, BUCKET_ROWS = 64, 500_000
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
@@ -293,7 +294,8 @@ def pack(
     """
     pieces = stage(tokenise(docs, vocab_path, end_id, window, id_col, text_col), "pieces")
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = pieces.drop("_ids").withColumn("_bucket", F.pmod(F.xxhash64("_id", "_start"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, pieces.count() // BUCKET_ROWS)
+    keyed = pieces.drop("_ids").withColumn("_bucket", F.pmod(F.xxhash64("_id", "_start"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("_length", "_bucket").count()
     histogram = {r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("count")).collect()}  # at most `window` rows
     plan = Plan(histogram, window)
