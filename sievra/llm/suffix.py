@@ -289,7 +289,8 @@ def _refined_over_cluster(contexts: DataFrame, length: int, reach: int, kind: st
     def repeated(rows: DataFrame, name: str) -> DataFrame:
         place = F.struct("_id", "_key", (F.col("start") + F.col("at") - F.col("lo")).alias("p"))
         sums = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min(place).alias("a"), F.max(place).alias("b"))
-        return sums.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.col(name).alias(f"{name}2"))
+        # written, so that the join with it has two plain sides and a string that very many contexts share can be split
+        return stage(sums.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.col(name).alias(f"{name}2")), name)
 
     rows = contexts.select("at", F.lit(0).alias("lo"), F.lit(reach).alias("hi"), "data", "_id", "_key", "start")
     out = None
