@@ -238,7 +238,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
         return members.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = components(links)
     rooted = classes.select("key", "weight", "least").join(found, classes.key == found.vertex, "left").select("key", "weight", "least", F.coalesce("root", "key").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    names = stage(rooted.groupBy("root").agg(F.min("least").alias("component")), "names")
     told = rooted.join(names, "root").join(numbers, "key", "left").select(F.col("key").alias("_key"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")
     out = members.join(told, members.key == told["_key"], "left")
     own = F.coalesce("component", "id")
