@@ -13,7 +13,6 @@ Equal fingerprints are one class before anything is compared. Null ids keep thei
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator, Sequence
 
@@ -31,24 +30,29 @@ CHUNK = 1024
 HELD = 1 << 20
 
 
-def fingerprint(text: str, width: int = 4, words64: int = 1, seed: int = 42) -> bytes:
-    """8 * words64 bytes; a bit is 1 if it is set in over half the shingles' hashes, repeats included."""
+def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
+    """The hashes of the text's word shingles in order, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and \x20 \x09-\x0D
-    if not words:
-        return bytes(8 * words64)
     line = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) <= width:
-        raw = digest(line, seed)
-        n = 1
+        raw = digest(line, seed) if words else b""
     else:
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = np.r_[0, ends[:-1]]
         n = len(words) - width + 1
         raw = b"".join([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), (ends[width - 1 :] - 1).tolist())])
+    return np.frombuffer(raw, dtype=">u8")
+
+
+def fingerprint(text: str, width: int = 4, words64: int = 1, seed: int = 42) -> bytes:
+    """8 * words64 bytes; a bit is 1 if it is set in over half the shingles' hashes, repeats included."""
+    hashes = shingle_hashes(text, width, seed)
+    n = len(hashes)
+    if not n:
+        return bytes(8 * words64)
     counts = np.zeros(64 * words64, dtype=np.int64)
     block = max(1, (1 << 17) // words64)
-    hashes = np.frombuffer(raw, dtype=">u8")
     for k in range(0, n, block):
         h = hashes[k : k + block].astype(np.uint64)
         parts = [h] + [_mixed(h, i) for i in range(1, words64)]
@@ -95,11 +99,6 @@ def disjoint_sets(n: int, size: int, rounds: int = 1, seed: int = 1) -> list[tup
     return out
 
 
-def bits_at(similarity: float, bits: int) -> int:
-    """Bits that differ on average between texts whose shingle sets have this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (vertex, smallest vertex of its component) with the same components as a-b."""
     nodes, where = np.unique(np.r_[a, b], return_inverse=True)
@@ -144,9 +143,11 @@ def link_lists(keys: np.ndarray, fps: np.ndarray, max_bits: int, min_matches: in
     return _forest(np.concatenate(left), np.concatenate(right))
 
 
-def links(fps: DataFrame, sets: Sequence[Sequence[int]], max_bits: int, min_matches: int, size: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp, `size` bytes each) that give the components of all pairs
-    which share a set of byte positions, min_matches bytes in all, and differ in at most max_bits bits."""
+def posted(fps: DataFrame, sets: Sequence[Sequence[int]], size: int) -> DataFrame:
+    """(key, fp): a row for each set of byte positions of each fingerprint; equal keys follow each other in a partition.
+
+    Lists over CHUNK rows come as a list for every pair of their chunks.
+    """
     positions = [list(s) for s in sets]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,22 +161,6 @@ def links(fps: DataFrame, sets: Sequence[Sequence[int]], max_bits: int, min_matc
                         key = key << 8 | raw[:, p]
                     yield pa.RecordBatch.from_arrays([pa.array(key), col], ["key", "fp"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(keys: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
-            rows = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, size)
-            a, b = link_lists(keys, rows, max_bits, min_matches)
-            return pa.RecordBatch.from_arrays([pa.array([blobs[i] for i in a.tolist()], pa.binary()), pa.array([blobs[i] for i in b.tolist()], pa.binary())], ["a", "b"])
-
-        keys, blobs = np.empty(0, np.int64), []
-        for batch in batches:
-            keys, blobs = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False)], blobs + batch.column(1).to_pylist()
-            if len(keys) and keys[0] != keys[-1] and len(keys) >= 4096:
-                last = int(np.searchsorted(keys, keys[-1]))  # the last list may go on
-                yield found(keys[:last], blobs[:last])
-                keys, blobs = keys[last:], blobs[last:]
-        if len(keys) > 1:
-            yield found(keys, blobs)
-
     postings = fps.select("fp").mapInArrow(post, "key long, fp binary")
     long_lists = stage(postings.groupBy("key").count().filter(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "lists")
     if long_lists.head(1):
@@ -186,7 +171,33 @@ def links(fps: DataFrame, sets: Sequence[Sequence[int]], max_bits: int, min_matc
         hot = tagged.filter("chunks is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         hot = hot.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
         postings = cold.unionByName(hot)
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary")
+    return postings.repartition("key").sortWithinPartitions("key")
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Keys and fingerprints of posted rows, cut between lists."""
+    keys, blobs = np.empty(0, np.int64), []
+    for batch in batches:
+        keys, blobs = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False)], blobs + batch.column(1).to_pylist()
+        if len(keys) and keys[0] != keys[-1] and len(keys) >= 4096:
+            last = int(np.searchsorted(keys, keys[-1]))  # the last list may go on
+            yield keys[:last], blobs[:last]
+            keys, blobs = keys[last:], blobs[last:]
+    if len(keys) > 1:
+        yield keys, blobs
+
+
+def links(fps: DataFrame, sets: Sequence[Sequence[int]], max_bits: int, min_matches: int, size: int) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp, `size` bytes each) that give the components of all pairs
+    which share a set of byte positions, min_matches bytes in all, and differ in at most max_bits bits."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, blobs in whole_lists(batches):
+            rows = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, size)
+            a, b = link_lists(keys, rows, max_bits, min_matches)
+            yield pa.RecordBatch.from_arrays([pa.array([blobs[i] for i in a.tolist()], pa.binary()), pa.array([blobs[i] for i in b.tolist()], pa.binary())], ["a", "b"])
+
+    return posted(fps, sets, size).mapInArrow(meet, "a binary, b binary")
 
 
 def near_duplicates(
@@ -195,20 +206,18 @@ def near_duplicates(
     """(id, fp, component): component is the smallest id that links lead to, the document's own included.
 
     With 64 bits and max_bits given, candidates are guaranteed: all pairs within max_bits (at most 4) are found.
-    Else links are pairs whose shingle sets are `similarity` alike as the fingerprints tell, max_bits from the angle;
-    byte pairs then find candidates.
+    Without max_bits, links are pairs whose sets of shingles are `similarity` alike by count; see shingles.
     """
-    bits = 64 * words64
-    if words64 == 1 and max_bits is not None and max_bits <= 4:
-        sets: list = covering_triples()
-        matches = 8 - max_bits
+    if max_bits is None:
+        from . import shingles
+
+        fps, classes, found = shingles.linked(docs, width, similarity, 8 * words64, id_col, text_col)
+    elif words64 == 1 and max_bits <= 4:
+        fps = stage(fingerprints(docs, width, words64, id_col, text_col), "fingerprints")
+        classes = stage(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+        found = components(links(classes, covering_triples(), max_bits, 8 - max_bits, 8))
     else:
-        max_bits = bits_at(similarity, bits) if max_bits is None else max_bits
-        sets = disjoint_sets(bits // 8, 2)
-        matches = max(2, bits // 8 - max_bits)
-    fps = stage(fingerprints(docs, width, words64, id_col, text_col), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    found = components(links(classes, sets, max_bits, matches, bits // 8))
+        raise ValueError("bits at most can be given for 64 bits, up to 4")
     rooted = classes.join(found, classes.fp == found.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = stage(rooted.groupBy("root").agg(F.min("least").alias("component")), "names")  # a plain side, so that large components can be split
     named = rooted.join(names, "root").select(F.col("fp").alias("_fp"), "component")

@@ -109,3 +109,40 @@ def test_near_duplicates_by_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, component int")
     got = {r.doc_id: r.component for r in simhash.near_duplicates(df).collect()}
     assert got == {i: i - i % 2 for i in range(n)}
+
+
+def overlapping(rng, n, changed):
+    """Two texts of n words that differ in runs of words at the end: Jaccard of five-word shingles is (n - 4 - changed) / (n - 4 + changed)."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    return " ".join(words), " ".join(words[: n - changed] + [f"x{rng.randrange(10**6)}" for _ in range(changed)])
+
+
+def test_pairs_at_the_similarity_are_found_and_no_others(spark):
+    rng = random.Random(6)
+    # 94 shingles: 10 of 94 changed make 84 / 104 = 0.808, 11 make 83 / 105 = 0.790
+    texts = [t for changed in (10, 11) for _ in range(60) for t in overlapping(rng, 98, changed)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 if i < 120 else i for i in range(len(texts))}
+
+
+def test_components_of_exact_similarity(spark):
+    rng = random.Random(7)
+    texts = [None, "", "one two", "ONE  two", "one two three"]
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        for _ in range(30):  # each from an earlier one, so that likeness is of all degrees and chains are long
+            texts.append(" ".join(words))
+            for _ in range(rng.randrange(0, 3)):
+                words[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    like = lambda a, b: not a | b or 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if like(sets[i], sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old, simhash.CHUNK = simhash.CHUNK, 8
+    try:
+        got = {r.doc_id: r.component for r in simhash.near_duplicates(df).collect()}
+    finally:
+        simhash.CHUNK = old
+    assert got == dict(enumerate(roots(len(texts), pairs)))
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
