@@ -146,3 +146,10 @@ def test_components_of_exact_similarity(spark):
         simhash.CHUNK = old
     assert got == dict(enumerate(roots(len(texts), pairs)))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_repeated_line_does_not_make_texts_alike(spark):
+    line = " ".join(f"s{k}" for k in range(10)) + " "  # ten shingles, thirty times
+    texts = [line * 30 + " ".join(f"{c}{g}_{k}" for k in range(104)) for g in range(20) for c in "yz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.doc_id == r.component for r in simhash.near_duplicates(df).collect())
