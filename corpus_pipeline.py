@@ -35,11 +35,12 @@ def apart(step: Callable[[SparkSession, DataFrame, str, dict[str, str]], DataFra
 
 @apart
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str, str]) -> DataFrame:
-    """Rejects documents without a language; those in several stay. Where lang is null, the language found is filled in."""
+    """Rejects documents without a language and those in which an unknown one prevails; those in several known ones stay.
+    Where lang is null, the language found is filled in."""
     text, lang = at["text"], at["lang"]
     model = language.learn(docs, text_col=text, lang_col=lang)
     found = language.identify(docs, model, keep=docs.columns, text_col=text)
-    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("unknown") <= 0.5))
     return kept.withColumn(lang, F.coalesce(lang, "lang_pred"))
 
 

@@ -5,6 +5,8 @@ labelled documents give smoothed trigram probabilities. Prediction: each word of
 under each language, the product over its trigrams. Expectation-maximisation estimates the document's language
 proportions; sets of the 1, 2, ... most likely languages are fitted and the set with the best penalised
 likelihood is taken. The language with the largest proportion in it is the prediction, the proportion its score.
+Beside these the set is mixed with a language that isn't known, in which every trigram is equally likely: the share
+of words that go to it is `unknown`, 0 if its likelihood can't pay the penalty.
 
 Null, empty and letterless texts: language `und`, score 0. With nothing to learn from, all are `und`.
 Ties go to the language whose name sorts first. Repeated rows each get a row.
@@ -76,6 +78,8 @@ class Scorer:
         self.rows: dict[str, int] = {}
         self.used = 0
         self.table = np.zeros((1024, max(1, len(model.languages))), dtype=np.float32)
+        #: logarithm of a word's likelihood in an unknown language over that in its likeliest one
+        self.strange = np.zeros(1024, dtype=np.float32)
 
     def _learn(self, words: list[str]) -> None:
         """Rows of the table for new words; -1 for those without letters."""
@@ -87,17 +91,25 @@ class Scorer:
         if len(slot):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             total[word[starts]] = np.add.reduceat(self.model.log_p[slot], starts, axis=0)
+        strange = -np.log(SLOTS) * np.bincount(word, minlength=len(words)) - total.max(axis=1)
         rows = np.exp(np.maximum(total - total.max(axis=1, keepdims=True), -60))
         n = int(has.sum())
         while k + n > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.strange = np.concatenate([self.strange, np.zeros_like(self.strange)])
         self.table[k : k + n] = rows[has]
+        self.strange[k : k + n] = np.clip(strange[has], -60, 60)
         places = np.where(has, k + np.cumsum(has) - 1, -1)
         self.rows.update(zip(words, places.tolist()))
         self.used = k + n
 
     def likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Likelihoods of all words with letters, up to a factor a word, and how many of them each text has."""
+        rows, count = self._rows(texts)
+        return self.table[rows].astype(np.float64), count
+
+    def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the table for all words with letters, and how many of them each text has."""
         split = [t.lower().split() for t in texts]
         if len(self.rows) > CACHE:
             self.rows, self.used = {}, 0
@@ -107,18 +119,20 @@ class Scorer:
         flat = np.fromiter((get(w) for words in split for w in words), dtype=np.int64)
         doc = np.repeat(np.arange(len(texts)), [len(w) for w in split])
         real = flat >= 0
-        return self.table[flat[real]].astype(np.float64), np.bincount(doc[real], minlength=len(texts))
+        return flat[real], np.bincount(doc[real], minlength=len(texts))
 
-    def mixtures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions of the languages in each text (rows of zeros: no letters), and how many words were judged."""
+    def mixtures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Proportions of the languages in each text (rows of zeros: no letters), how many words were judged, and the
+        share of an unknown language beside these."""
         m = len(self.model.languages)
         if not m:
-            return np.zeros((len(texts), 0)), np.zeros(len(texts), dtype=np.int64)
-        like, count = self.likelihoods(texts)
-        out = np.zeros((len(texts), m))
+            return np.zeros((len(texts), 0)), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+        rows, count = self._rows(texts)
+        like = self.table[rows].astype(np.float64)
+        out, unknown = np.zeros((len(texts), m)), np.zeros(len(texts))
         live = np.flatnonzero(count)
         if not len(live):
-            return out, count
+            return out, count, unknown
         n = count[live]
         starts = np.r_[0, np.cumsum(n)[:-1]]
         doc = np.repeat(np.arange(len(live)), n)
@@ -155,7 +169,15 @@ class Scorer:
             better = value > score[of]
             best[of[better]], score[of[better]] = fitted[better], value[better]
         out[live] = best
-        return out, count
+        ratio = np.exp(self.strange[rows].astype(np.float64))
+        known = (like * best[doc]).sum(axis=1)
+        share = np.full(len(live), 0.5)
+        for _ in range(self.model.rounds):
+            part = ratio * share[doc]
+            share = np.add.reduceat(part / (part + known * (1 - share[doc])), starts) / n
+        gain = np.add.reduceat(np.log(ratio * share[doc] + known * (1 - share[doc])) - np.log(known), starts)
+        unknown[live] = np.where(gain > self.model.penalty * np.log(n + 1), share, 0)
+        return out, count, unknown
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, smoothing: float = 0.1) -> Model:
@@ -185,7 +207,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kept columns or the id, lang_pred, score, languages: the selected set, best first)."""
+    """(kept columns or the id, lang_pred, score, languages: the selected set, best first, unknown: share of an unknown language)."""
     kept = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots x languages numbers
 
@@ -193,7 +215,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, id_co
         scorer = Scorer(shared.value)
         names = shared.value.languages
         for batch in in_pieces(batches, "_text", 4 << 20):
-            theta, count = scorer.mixtures(batch.column(batch.num_columns - 1).to_pylist())
+            theta, count, unknown = scorer.mixtures(batch.column(batch.num_columns - 1).to_pylist())
             pred, score, sets = [], [], []
             for row, n in zip(theta, count):
                 if not n or not len(names):
@@ -205,9 +227,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, id_co
                     pred.append(names[order[0]])
                     score.append(float(min(1.0, row[order[0]])))
                     sets.append([names[i] for i in order])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(unknown, pa.float64())], out)
 
     plan = docs.select(*(docs[c].alias(f"_k{i}") for i, c in enumerate(kept)), text_or_empty(text_col).alias("_text"))
-    out = [*plan.columns[:-1], "_pred", "_score", "_set"]
+    out = [*plan.columns[:-1], "_pred", "_score", "_set", "_unknown"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plan.schema.fields[:-1])
-    return plan.mapInArrow(run, f"{schema}, _pred string, _score double, _set array<string>").toDF(*kept, "lang_pred", "score", "languages")
+    return plan.mapInArrow(run, f"{schema}, _pred string, _score double, _set array<string>, _unknown double").toDF(*kept, "lang_pred", "score", "languages", "unknown")

@@ -76,3 +76,15 @@ def test_empty_table(spark, made):
 
 def test_run(spark, made):
     assert cp.run(spark, made[0]).count() > 200
+
+
+def test_unknown_languages_go(spark, made):
+    path, rows, _ = made
+    rng = random.Random(8)
+    gibberish = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(80))
+    both = " ".join(prose(rng, w.split(), 60) for w in (EN, FR))
+    extra = [(500, gibberish), (501, "мы читаем книги и пишем письма " * 20), (502, both), (503, prose(rng, EN.split(), 100) + " мы читаем книги")]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in extra], docs.schema))
+    kept = {r.doc_id for r in cp.identify_language(spark, docs, path).collect()}
+    assert {502, 503} <= kept and not kept & {500, 501} and {r[0] for r in rows[:340]} <= kept
