@@ -67,7 +67,6 @@ class Model:
     log_p: np.ndarray
     rounds: int = 8
     penalty: float = 3.0
-    widest: int = 3
 
 
 class Scorer:
@@ -151,7 +150,7 @@ class Scorer:
         top = single.argmax(axis=1)
         best[np.arange(len(live)), top] = 1
         score = single[np.arange(len(live)), top]
-        for width in range(2, min(m, self.model.widest) + 1):
+        for width in range(2, m + 1):
             # a language with hardly a word can't pay for the penalty
             open_ = theta[np.arange(len(live)), order[:, width - 1]] * n > 0.5
             if not open_.any():

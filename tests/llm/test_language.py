@@ -56,3 +56,17 @@ def test_em_is_brute_force_em(spark):
     # the pair is fitted on from the first estimate; it wins by its penalised likelihood
     assert value(got) - model.penalty * math.log(len(like) + 1) > alone
     assert value(got) >= value(theta) - 1e-9 and np.isclose(got.sum(), 1)
+
+
+def test_all_languages_of_a_text(spark):
+    vocabulary = {lang: [f"{a}{b}{c}" for a in letters for b in letters for c in letters] for lang, letters in (("a", "bcd"), ("e", "fgh"), ("i", "jkl"), ("o", "mnp"), ("u", "qrs"))}
+    rng = random.Random(5)
+    text = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
+    docs = [(i, text(lang, 40), lang) for i in range(20) for lang in vocabulary]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    every = " ".join(text(lang, n) for lang, n in zip("aeiou", (60, 50, 40, 30, 20)))
+    four = " ".join(text(lang, n) for lang, n in zip("aeio", (70, 50, 40, 40)))
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame([(1, every), (2, four)], "doc_id long, text string"), model).collect()}
+    assert got[1].languages == list("aeiou") and abs(got[1].score - 0.3) < 0.02
+    assert set(got[2].languages) == set("aeio") and abs(got[2].score - 0.35) < 0.02
