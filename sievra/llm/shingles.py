@@ -2,12 +2,12 @@
 
 A signature has a byte of the least hash under each of some permutations; a byte is equal in two signatures with the
 probability of the sets' similarity (and 1 / 256 of the rest). Signatures meet in the inverted index on byte positions
-of simhash, and pairs with fewer equal bytes than alike sets have are left. Every other candidate is decided by its
-sets: links are pairs with |A and B| >= similarity * |A or B|, nothing else.
+of simhash, and pairs with fewer equal bytes than alike sets have are left. The others are candidates. Candidates hang
+together in groups; the sets of a group come to one place, where every candidate pair that isn't yet joined by links is
+decided: links are pairs with |A and B| >= similarity * |A or B|, nothing else. Only links that join something new
+leave a group, and groups over CHUNK classes are met as pairs of chunks, so that no rows are made for pairs.
 
-Texts with equal sets are one class before anything is compared. Candidates are decided in two steps, so that a group
-of n alike classes needs about n decisions and not n * n: first the links of a widest spanning forest of each list,
-then all candidates whose ends the first step left in different components.
+Texts with equal sets are one class before anything is compared.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import in_pieces, stage, text_or_empty
 from .components import components
-from .simhash import HELD, _mixed, disjoint_sets, posted, shingle_hashes, whole_lists
+from .simhash import HELD, _forest, _mixed, disjoint_sets, posted, shingle_hashes, whole_lists
 
 #: Bytes of a class's name, which stand before its signature.
 NAME = 16
@@ -67,31 +68,6 @@ def least_matches(similarity: float, slots: int, lost: float = 1e-6) -> int:
     return slots
 
 
-def _widest(i: np.ndarray, j: np.ndarray, tally: np.ndarray) -> np.ndarray:
-    """Which of the pairs make a spanning forest of most equal bytes."""
-    nodes, where = np.unique(np.r_[i, j], return_inverse=True)
-    x, y, label, kept = where[: len(i)], where[len(i) :], np.arange(len(nodes)), []
-    order = np.argsort(-tally, kind="stable")
-    for k in range(0, len(order), 4096):
-        e = order[k : k + 4096]
-        e = e[label[x[e]] != label[y[e]]]
-        above: dict[int, int] = {}
-        for q, u, v in zip(e.tolist(), label[x[e]].tolist(), label[y[e]].tolist()):
-            while u in above:
-                u = above[u]
-            while v in above:
-                v = above[v]
-            if u != v:
-                above[max(u, v)] = min(u, v)
-                kept.append(q)
-        if above:
-            up = np.arange(len(nodes))
-            for u in sorted(above):  # parents are smaller and done before
-                up[u] = up[above[u]]
-            label = up[label]
-    return np.array(kept, dtype=np.int64)
-
-
 def _met(keys: np.ndarray, rows: np.ndarray, matches: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers of the pairs inside runs of equal keys that have `matches` equal bytes, and how many they have."""
     at, step = np.flatnonzero(keys[:-1] == keys[1:]), 1
@@ -106,60 +82,70 @@ def _met(keys: np.ndarray, rows: np.ndarray, matches: int) -> Iterator[tuple[np.
         at = at[keys[at] == keys[at + step]]
 
 
-def candidates(fps: DataFrame, sets: Sequence[Sequence[int]], matches: int, slots: int, apart: bool = False) -> DataFrame:
-    """(a, b): names of candidates. fp: name, signature and, with `apart`, the name of the component.
-
-    With `apart` all pairs of different components; else those of a widest spanning forest of each list.
-    """
-    end = NAME + slots
-    size = end + (NAME if apart else 0)
-
-    def batch_of(blobs: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        ends = [sorted((blobs[a][:NAME], blobs[b][:NAME])) for a, b in zip(i.tolist(), j.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())], ["a", "b"])
+def candidates(fps: DataFrame, sets: Sequence[Sequence[int]], matches: int, slots: int) -> DataFrame:
+    """(a, b): names of classes (fp: name and signature) with the same components as all candidates."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, blobs in whole_lists(batches):
-            raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, size)
-            rows = np.ascontiguousarray(raw[:, NAME:end])
-            if apart:
-                own = np.ascontiguousarray(raw[:, end:]).view(np.uint64)
-                for i, j, _ in _met(keys, rows, matches):
-                    other = (own[i] != own[j]).any(axis=1)
-                    if other.any():
-                        yield batch_of(blobs, i[other], j[other])
-                continue
-            held, n = [(np.empty(0, np.int64),) * 3], 0
-            for found in _met(keys, rows, matches):
-                held.append(found)
-                n += len(found[0])
+            rows = np.ascontiguousarray(np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, NAME + slots)[:, NAME:])
+            held, n = [(np.empty(0, np.int64),) * 2], 0
+            for i, j, _ in _met(keys, rows, matches):
+                held.append((i, j))
+                n += len(i)
                 if n > HELD:
-                    i, j, tally = (np.concatenate(x) for x in zip(*held))
-                    best = _widest(i, j, tally)
-                    held, n = [(i[best], j[best], tally[best])], len(best)
-            i, j, tally = (np.concatenate(x) for x in zip(*held))
-            if len(i):
-                best = _widest(i, j, tally)
-                yield batch_of(blobs, i[best], j[best])
-
-    return posted(fps, [[NAME + p for p in s] for s in sets], size).mapInArrow(meet, "a binary, b binary").distinct()
+                    held = [_forest(*(np.concatenate(x) for x in zip(*held)))]
+                    n = len(held[0][0])
+            a, b = _forest(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array([blobs[i][:NAME] for i in x.tolist()], pa.binary()) for x in (a, b)], ["a", "b"])
+
+    return posted(fps, [[NAME + p for p in s] for s in sets], NAME + slots).mapInArrow(meet, "a binary, b binary")
+
+
+def _decided(rows: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, matches: int) -> list[tuple[int, int]]:
+    """Links of one group that give the components of all of them; the likeliest pairs are decided first. Sides 1 and 2 meet each other only."""
+    size, found = np.array([len(x) for x in sets]), []
+    for i, j, tally in _met(np.zeros(len(rows), np.int64), rows, matches):
+        able = ((side[i] == 0) | (side[i] != side[j])) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        found.append((i[able], j[able], tally[able]))
+    if not found:
+        return []
+    i, j, tally = (np.concatenate(x) for x in zip(*found))
+    order, label, out = np.argsort(-tally, kind="stable"), np.arange(len(rows)), []
+    for k in range(0, len(order), 4096):
+        e = order[k : k + 4096]
+        e = e[label[i[e]] != label[j[e]]]
+        for x, y in zip(i[e].tolist(), j[e].tolist()):
+            if label[x] == label[y]:
+                continue
+            both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
+            if both >= similarity * (size[x] + size[y] - both) - 1e-9:
+                out.append((x, y))
+                label[label == label[y]] = label[x]
+    return out
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (name, hashes) have the similarity."""
+def alike(groups: DataFrame, similarity: float, matches: int, slots: int) -> DataFrame:
+    """(a, b): links between the classes of each group (columns root, full, hashes)."""
+    end = NAME + slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                both = np.intersect1d(one, two, assume_unique=True).size
-                keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = sets.select(F.col("name").alias("a"), F.col("hashes").alias("one"))
-    two = sets.select(F.col("name").alias("b"), F.col("hashes").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a binary, b binary")
+        for keys, blobs in whole_lists(batches):
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]).tolist()
+            for start, stop in zip(cuts, cuts[1:]):
+                own = blobs[start:stop]
+                rows = np.frombuffer(b"".join(x[NAME:end] for x in own), dtype=np.uint8).reshape(-1, slots)
+                links = _decided(rows, np.array([x[end] for x in own]), [np.frombuffer(x[end + 1 :], dtype="<u8") for x in own], similarity, matches)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([own[x[c]][:NAME] for x in links], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+    side = lambda k: F.lit(bytearray([k]))
+    rows = groups.select(F.xxhash64("root").alias("key"), "full", "hashes")
+    large = stage(rows.groupBy("key").count().filter(F.col("count") > simhash.CHUNK).select("key", F.ceil(F.col("count") / simhash.CHUNK).cast("int").alias("chunks")), "lists")
+    dealt = rows.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("full", F.lit(7)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    mark = F.when(F.col("own") == F.col("other"), side(0)).when(F.col("own") < F.col("other"), side(1)).otherwise(side(2))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.concat("full", mark, "hashes").alias("fp"))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
 def _read(docs: DataFrame, width: int, slots: int, id_col: str, text_col: str) -> DataFrame:
@@ -195,14 +181,9 @@ def linked(docs: DataFrame, width: int, similarity: float, slots: int, id_col: s
     read = stage(_read(docs, width, slots, id_col, text_col), "fingerprints")
     name = F.substring("full", 1, NAME)
     classes = stage(read.groupBy("full").agg(F.min("_id").alias("least"), F.min("mark").alias("mark")).withColumn("fp", name), "classes")
-    met = stage(candidates(classes.select(F.col("full").alias("fp")), sets, matches, slots), "met")
-    ends = met.select(F.col("a").alias("fp")).unionByName(met.select(F.col("b").alias("fp"))).distinct()
-    touched = stage(classes.join(ends, "fp").select("fp", "full", "mark"), "touched")
-    known = stage(_sets(docs, touched.select(F.col("fp").alias("name"), "mark"), width, text_col), "sets")
-    found = stage(components(stage(alike(met, known, similarity), "alike")), "found")
-    placed = touched.join(found, touched.fp == found.vertex, "left").select(F.concat("full", F.coalesce("root", "fp")).alias("fp"))
-    more = stage(candidates(placed, sets, matches, slots, apart=True).join(met, ["a", "b"], "left_anti"), "met")
-    more = stage(alike(more, known, similarity), "alike")
-    if more.head(1):
-        found = components(found.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
+    groups = components(candidates(classes.select(F.col("full").alias("fp")), sets, matches, slots))
+    touched = stage(classes.join(groups, classes.fp == groups.vertex).select("fp", "full", "mark", "root"), "touched")
+    known = _sets(docs, touched.select(F.col("fp").alias("name"), "mark"), width, text_col)
+    known = stage(touched.join(known, touched.fp == known.name).select("root", "full", "hashes"), "sets")
+    found = components(alike(known, similarity, matches, slots))
     return read.select(F.col("_id").alias(id_col), name.alias("fp")), classes.select("fp", "least"), found
