@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import in_pieces, text_or_empty
+from .common import in_pieces, text_or_empty, tidy
 
 LONG = 256
 #: Words kept encoded per worker and generation; two generations are held.
@@ -179,7 +179,7 @@ def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
             ids = [vocab.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_id", "ids"])
 
-    return df.select(df[id_col].alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    return df.select(df[id_col].alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(tidy(run), f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -192,7 +192,7 @@ def decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str
             texts = [vocab.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "text"])
 
-    return df.select(df[id_col].alias("_id"), df[ids_col].alias("_ids")).mapInArrow(run, f"_id {kind}, text string").withColumnRenamed("_id", id_col)
+    return df.select(df[id_col].alias("_id"), df[ids_col].alias("_ids")).mapInArrow(tidy(run), f"_id {kind}, text string").withColumnRenamed("_id", id_col)
 
 
 def digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,4 +216,4 @@ def digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     plan = df.select(df[id_col].alias("_id"), text_or_empty(text_col).alias("_text"))
-    return plan.mapInArrow(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)
+    return plan.mapInArrow(tidy(run), f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)

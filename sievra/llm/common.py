@@ -3,27 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
+import warnings
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 _OWN: dict[str, str] = {}
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
-#: Rows of an Arrow batch at most, where rows hold texts.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most, where rows hold texts (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows at most from now on: texts can be long, and batches are counted in rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most from now on, in this session.
+
+    Frames are run after the call that makes them, so the settings can't be put back here; smaller ones are kept.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key)).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sievra-")
@@ -54,16 +65,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(keep: int = 0) -> None:
-    """Delete the staged tables but the last `keep`; frames that still read the others must not be used afterwards."""
-    while len(_STAGED) > keep:
-        spark, path = _STAGED.pop(0)
+def staged() -> int:
+    """How many staged tables there are: what release() takes as `first`."""
+    return len(_STAGED)
+
+
+def release(keep: int = 0, first: int = 0) -> None:
+    """Delete the staged tables from the first-th on, but the last `keep`; frames that still read them must not be used afterwards."""
+    for spark, path in _STAGED[first : len(_STAGED) - keep]:
         try:
             jvm = spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session may be gone; the folder then outlives us
             return
+        _STAGED.remove((spark, path))
 
 
 atexit.register(release)
@@ -73,8 +89,40 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are used again by later stages, and keep what they once took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives memory back at the end of a task."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
+def in_batches(fn: Callable[[Iterator], Iterator[pa.Array]], kind: str) -> Callable[..., Column]:
+    """A column function in Python over batches of its arguments; the other columns of the rows stay in the JVM."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the kind of function is given by name, not by hints
+        return F.arrow_udf(tidy(fn), kind, ArrowUDFType.SCALAR_ITER).asNondeterministic()  # a filter on the column then doesn't run it twice
+
+
+def of_texts(fn: Callable[[Iterator[list[str]]], Iterator[pa.Array]], kind: str, text: Column, max_bytes: int = 4 << 20) -> Column:
+    """A column made from lists of texts in Python."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = in_pieces((pa.RecordBatch.from_arrays([c], ["text"]) for c in columns), "text", max_bytes)
+        return fn(piece.column(0).to_pylist() for piece in pieces)
+
+    return in_batches(run, kind)(text)
 
 
 def in_pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, tidy
 from .components import components
 from .simhash import _forest
 
@@ -166,9 +166,9 @@ def _of_length(classes: DataFrame, dims: int, threshold: float, sample_rows: int
             rows = [pa.array([v], t) for v, t in ((part, pa.int32()), (n, pa.int32()), (batch.column(0).to_pylist(), pa.list_(pa.string())), (batch.column(1).to_pylist(), pa.list_(pa.int64())), (x.tobytes(), pa.binary()), (y.min(axis=0), pa.list_(pa.float64())), (y.max(axis=0), pa.list_(pa.float64())))]
             yield pa.RecordBatch.from_arrays(rows, ["part", "block", "keys", "weights", "x", "low", "high"])
 
-    ordered = classes.select("key", "weight", "x").mapInArrow(keyed, "key string, weight long, x binary, grid long")
+    ordered = classes.select("key", "weight", "x").mapInArrow(tidy(keyed), "key string, weight long, x binary, grid long")
     ordered = ordered.repartitionByRange(intervals, "grid", "key").sortWithinPartitions("grid", "key").select("key", "weight", "x")
-    blocks = stage(ordered.mapInArrow(blocked, "part int, block int, keys array<string>, weights array<long>, x binary, low array<double>, high array<double>"), "blocks")
+    blocks = stage(ordered.mapInArrow(tidy(blocked), "part int, block int, keys array<string>, weights array<long>, x binary, low array<double>, high array<double>"), "blocks")
     corner = lambda f, c: F.array(*(f(F.col(c)[d]) for d in range(dims)))
     boxes = blocks.groupBy("part").agg(corner(F.min, "low").alias("low"), corner(F.max, "high").alias("high")).orderBy("part").collect()  # at most INTERVALS rows
     near = _boxes_meet(np.array([[b.low, b.high] for b in boxes]), 2 - 2 * threshold + SLACK)

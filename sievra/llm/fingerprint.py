@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, stage, text_or_empty
+from .common import in_pieces, stage, text_or_empty, tidy
 
 # Two primes below 2**31, a base for each and its inverse (from pow(base, -1, prime)).
 PRIMES = (2147483647, 2147483629)
@@ -151,7 +151,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([Fingerprint(t).hex() for t in texts], pa.string())], ["_id", "n_chars", "fingerprint"])
 
-    return docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_chars long, fingerprint string").withColumnRenamed("_id", id_col)
+    return docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(tidy(run), f"_id {kind}, n_chars long, fingerprint string").withColumnRenamed("_id", id_col)
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,11 +201,11 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     plan = docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text"))
     plan = plan.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text")
-    all_ = stage(plan.mapInArrow(ordered, f"_id {kind}, {FIELDS}, _part int, _role string, _text string"), "ordered")
+    all_ = stage(plan.mapInArrow(tidy(ordered), f"_id {kind}, {FIELDS}, _part int, _role string, _text string"), "ordered")
     edges = all_.filter(F.col("_role") != "row")
     numbers = sorted(r[0] for r in edges.filter("_role = 'first'").select("_part").collect())  # one for each task
     follow = spark.createDataFrame(list(zip(numbers, numbers[1:] + numbers[:1])), "_part int, _after int")
     firsts = edges.filter("_role = 'first'").select(F.col("_part").alias("_after"), F.col("_text").alias("_next"))
     lasts = edges.filter("_role = 'last'").select("_part", "_id", "_text")
-    ends = lasts.join(follow, "_part").join(firsts, "_after").select("_id", "_text", "_next").mapInArrow(pairs, f"_id {kind}, {FIELDS}")
+    ends = lasts.join(follow, "_part").join(firsts, "_after").select("_id", "_text", "_next").mapInArrow(tidy(pairs), f"_id {kind}, {FIELDS}")
     return all_.filter("_role = 'row'").select("_id", *names).unionByName(ends).withColumnRenamed("_id", id_col)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, stage, text_or_empty
+from .common import in_pieces, stage, text_or_empty, tidy
 
 CLASSES = 2048
 WORDS = 1 << 20
@@ -93,7 +93,7 @@ def read(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(1), pa.array([reader.read(r) for r in raws], pa.binary())], ["_id", "_key", "_part", "_tokens"])
 
     rows = docs.select(docs[id_col].alias("_id"), part.cast("int").alias("_part"), text_or_empty(text_col).alias("_text"))
-    return stage(rows.mapInArrow(run, f"_id {kind}, _key long, _part int, _tokens binary"), "tokens")
+    return stage(rows.mapInArrow(tidy(run), f"_id {kind}, _key long, _part int, _tokens binary"), "tokens")
 
 
 @dataclass
@@ -147,7 +147,7 @@ def learn(tokens: DataFrame, classes: int = CLASSES, words: int = WORDS) -> tupl
         if held:
             yield flush()
 
-    table = rows.mapInArrow(count, "w long, kept long, held long").groupBy("w").agg(F.sum("kept").alias("kept"), F.sum("held").alias("held"))
+    table = rows.mapInArrow(tidy(count), "w long, kept long, held long").groupBy("w").agg(F.sum("kept").alias("kept"), F.sum("held").alias("held"))
     table = stage(table.withColumn("n", F.col("kept") + F.col("held")), "words")
     # how many words have a count, by exact counts and then by powers of two: what the thresholds are taken from
     bin_ = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + 1000)
@@ -192,7 +192,7 @@ def learn(tokens: DataFrame, classes: int = CLASSES, words: int = WORDS) -> tupl
         if held:
             yield flush()
 
-    found = rows.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 2 * (classes + 1) * classes rows at most
+    found = rows.mapInArrow(tidy(pairs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 2 * (classes + 1) * classes rows at most
     cells = np.zeros((n_classes + 1) * n_classes * 2, dtype=np.float64)
     cells[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     cells = cells.reshape(n_classes + 1, n_classes, 2)
@@ -322,7 +322,7 @@ def score(tokens: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), keys.take(take), pa.array(h[first]), pa.array(n.astype(np.int64)), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names)
 
     plan = tokens.select("_id", "_key", "_tokens")
-    rows = stage(plan.mapInArrow(run, f"_id {kind}, _key long, w long, n long, n_tokens long, n_known long, base double, score double"), "scored")
+    rows = stage(plan.mapInArrow(tidy(run), f"_id {kind}, _key long, w long, n long, n_tokens long, n_known long, base double, score double"), "scored")
     whole = rows.filter("w is null").drop("w", "n")
     rare = rows.filter("w is not null").select("_id", "_key", "w", "n")
     counts = table.filter(F.col("n") < model.threshold).select("w", F.col("n").alias("c"))

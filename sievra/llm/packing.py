@@ -31,20 +31,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import byte_letters
-from .common import in_pieces, stage, text_or_empty
+from .common import in_pieces, stage, text_or_empty, tidy
 
-CACHE = 300_000
+CACHE = 150_000
 #: Pieces of one length and bucket are ranked together. There are BUCKETS buckets, or more, so that even if all pieces
 #: had one length, a bucket would hold about BUCKET_ROWS.
 BUCKETS, BUCKET_ROWS = 64, 500_000
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+#: Printable ASCII, and letters that are composed already, lower alike everywhere and are letters in every Unicode version.
+PLAIN = regex.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]*")
 
 
 class Encoder:
     """ids of the tokenizers library, remembered per run of non-blank characters.
 
     The vocabulary's words never run across white space, so the ids of a text are those of its runs in order.
-    A run that isn't known is normalised and split as the tokenizer file says; its words go to the library's model.
+    A new run of printable ASCII and letters of PLAIN is split here as the tokenizer file says, and its words go to the
+    library's model; any other run goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -74,20 +77,10 @@ class Encoder:
     def _remember(self, run: str) -> bytes:
         found = self.old.get(run)
         if found is None:
-            core = run.rstrip(".,;:!?|")
-            if core.isalpha() and max(core) < "\u0130":  # letters that are composed already, and lower alike everywhere
-                word = core.lower()
-                if word == run:
-                    found = self._word(run)
-                else:
-                    found = self.young.get(word) or self._remember(word)
-                    if len(core) < len(run):
-                        tail = run[len(core) :]
-                        found += self.young.get(tail) or self._remember(tail)
-            elif any(s in run for s in self.special):
+            if PLAIN.fullmatch(run) is None or any(s in run for s in self.special):
                 found = self._of(run)
             else:
-                plain = run.lower() if run.isascii() else self.tokenizer.normalizer.normalize_str(run)
+                plain = run.lower()
                 words = self.pattern.findall(plain)
                 if words == [run]:
                     found = self._word(run)
@@ -281,7 +274,7 @@ def tokenise(docs: DataFrame, vocab_path: str, end_id: int, window: int, id_col:
             )
 
     plan = docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text"))
-    return plan.mapInArrow(run, f"_id {kind}, _key long, _start long, _length int, _ids binary, _total long, _crc long")
+    return plan.mapInArrow(tidy(run), f"_id {kind}, _key long, _start long, _length int, _ids binary, _total long, _crc long")
 
 
 def pack(
@@ -323,7 +316,7 @@ def pack(
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(6)), *(pa.array(c, pa.int64()) for c in out)], names)
 
     names = ["_id", "_key", "_start", "_length", "_crc", "_total", "_cut", "_part", "_sequence", "_offset"]
-    placed = ranked.mapInArrow(place, f"_id {kind}, _key long, _start long, _length int, _crc long, _total long, _cut long, _part long, _sequence long, _offset long")
+    placed = ranked.mapInArrow(tidy(place), f"_id {kind}, _key long, _start long, _length int, _crc long, _total long, _cut long, _part long, _sequence long, _offset long")
     out = [F.col("_id").alias(id_col), (F.col("_start") + F.col("_cut")).alias("start"), F.col("_part").alias("length"), F.col("_crc").alias("ids_crc32"), F.col("_total").alias("doc_tokens"), F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset")]
     cut_lengths = sorted({rule[0] for rule in plan.rules if rule[4] != rule[0]})
     if not cut_lengths and not with_ids:
@@ -346,7 +339,7 @@ def pack(
         mine, source = placed.filter(F.col("_part") != F.col("_length")), pieces.filter(in_cut)
     source = source.select(*(F.col(k).alias(f"{k}2") for k in keys), "_ids").dropDuplicates([f"{k}2" for k in keys])  # of repeated rows one will do
     same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")) & (F.col("_start") == F.col("_start2"))
-    fetched = mine.join(source, same).select(*names, "_ids").mapInArrow(slice_ids, placed.schema.simpleString()[7:-1].replace(":", " ") + ", ids array<int>")
+    fetched = mine.join(source, same).select(*names, "_ids").mapInArrow(tidy(slice_ids), placed.schema.simpleString()[7:-1].replace(":", " ") + ", ids array<int>")
     if with_ids:
         return fetched.select(*out, "ids")
     return placed.filter(F.col("_part") == F.col("_length")).select(*out).unionByName(fetched.select(*out))

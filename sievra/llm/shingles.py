@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import in_pieces, stage, text_or_empty
+from .common import in_pieces, stage, text_or_empty, tidy
 from .components import components
 from .simhash import HELD, _forest, _mixed, disjoint_sets, posted, shingle_hashes, whole_lists
 
@@ -98,7 +98,7 @@ def candidates(fps: DataFrame, sets: Sequence[Sequence[int]], matches: int, slot
             a, b = _forest(*(np.concatenate(x) for x in zip(*held)))
             yield pa.RecordBatch.from_arrays([pa.array([blobs[i][:NAME] for i in x.tolist()], pa.binary()) for x in (a, b)], ["a", "b"])
 
-    return posted(fps, [[NAME + p for p in s] for s in sets], NAME + slots).mapInArrow(meet, "a binary, b binary")
+    return posted(fps, [[NAME + p for p in s] for s in sets], NAME + slots).mapInArrow(tidy(meet), "a binary, b binary")
 
 
 def _decided(rows: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, matches: int) -> list[tuple[int, int]]:
@@ -145,7 +145,7 @@ def alike(groups: DataFrame, similarity: float, matches: int, slots: int) -> Dat
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("full", F.lit(7)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     mark = F.when(F.col("own") == F.col("other"), side(0)).when(F.col("own") < F.col("other"), side(1)).otherwise(side(2))
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.concat("full", mark, "hashes").alias("fp"))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _read(docs: DataFrame, width: int, slots: int, id_col: str, text_col: str) -> DataFrame:
@@ -158,7 +158,7 @@ def _read(docs: DataFrame, width: int, slots: int, id_col: str, text_col: str) -
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([name_of(h) + signature(h, slots) for h in sets], pa.binary())], ["_id", "mark", "full"])
 
     text = text_or_empty(text_col)
-    return docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("mark"), text.alias("_text")).mapInArrow(run, f"_id {kind}, mark long, full binary")
+    return docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("mark"), text.alias("_text")).mapInArrow(tidy(run), f"_id {kind}, mark long, full binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
@@ -172,7 +172,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> Data
 
     text = text_or_empty(text_col)
     texts = docs.select(F.xxhash64(text).alias("mark"), text.alias("_text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark", "_text"])
-    return texts.join(wanted, "mark").select("name", "_text").mapInArrow(run, "name binary, hashes binary")
+    return texts.join(wanted, "mark").select("name", "_text").mapInArrow(tidy(run), "name binary, hashes binary")
 
 
 def linked(docs: DataFrame, width: int, similarity: float, slots: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, stage, text_or_empty
+from .common import in_pieces, stage, text_or_empty, tidy
 from .components import components
 
 CHUNK = 1024
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int = 4, words64: int = 1, id_col: str
             fps = [fingerprint(t, width, words64, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["_id", "fp"])
 
-    return docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, fp binary").withColumnRenamed("_id", id_col)
+    return docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(tidy(run), f"_id {kind}, fp binary").withColumnRenamed("_id", id_col)
 
 
 def covering_triples(n: int = 8) -> list[tuple[int, int, int]]:
@@ -161,7 +161,7 @@ def posted(fps: DataFrame, sets: Sequence[Sequence[int]], size: int) -> DataFram
                         key = key << 8 | raw[:, p]
                     yield pa.RecordBatch.from_arrays([pa.array(key), col], ["key", "fp"])
 
-    postings = fps.select("fp").mapInArrow(post, "key long, fp binary")
+    postings = fps.select("fp").mapInArrow(tidy(post), "key long, fp binary")
     long_lists = stage(postings.groupBy("key").count().filter(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "lists")
     if long_lists.head(1):
         # rows meet their list's number of chunks in a join on the key that adaptive execution can split
@@ -197,7 +197,7 @@ def links(fps: DataFrame, sets: Sequence[Sequence[int]], max_bits: int, min_matc
             a, b = link_lists(keys, rows, max_bits, min_matches)
             yield pa.RecordBatch.from_arrays([pa.array([blobs[i] for i in a.tolist()], pa.binary()), pa.array([blobs[i] for i in b.tolist()], pa.binary())], ["a", "b"])
 
-    return posted(fps, sets, size).mapInArrow(meet, "a binary, b binary")
+    return posted(fps, sets, size).mapInArrow(tidy(meet), "a binary, b binary")
 
 
 def near_duplicates(

@@ -21,6 +21,15 @@ def test_encoder_as_the_library():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_every_kind_of_code_point_as_the_library():
+    lib, enc = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    points = [*range(0x600), *(c for c in range(0x600, 0x110000, 61) if not 0xD800 <= c < 0xE000), 0x88F, 0xC5C, 0xCDC, 0x1E9E, 0x212A, 0xFB01]
+    for form in ("{}", "a{}b", "a {} b", "É{}é"):
+        texts = [form.format(chr(c)) for c in points]
+        for t, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(enc.encode(t), "<u4").tolist() == want.ids, repr(t)
+
+
 def brute(stock, capacity):
     longest = max(n for n in stock if n <= capacity)
     sums = {longest}
