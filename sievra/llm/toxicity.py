@@ -3,12 +3,19 @@
 Units are the runs of non-blank characters of a text, lower-cased, letters only; letters set apart one by one
 ("i d i o t", "i.d.i.o.t") make one unit. The kernel of two units counts common subsequences of ORDER letters,
 each weighted by DECAY to the length that it spans, and is normalised; gapped and inserted letters lower it, no more.
-Landmarks are units of the labelled sentences that go with a label, spread by the kernel. A sentence's value at a
-landmark is the largest kernel of any of its units; in the Nystroem space of the landmarks a linear machine with
-squared hinge loss tells the sentences apart. A text is as toxic as its most telling sentence; decision values are
-turned into probabilities on held-out folds.
-
-Kernels below FLOOR count as 0, and only units that share enough letter pairs with a landmark are computed at all.
+Where a letter stands between any two of a word, too little is left of the kernel, so a unit of SPACED letters or more
+is also seen without every second letter.
+Landmarks are units of the labelled sentences, or beginnings of units, that go with a label, spread by the kernel.
+A sentence has two values at a landmark: the largest kernel of any of its units, and the convolution kernel of its text
+with the landmark, the mean over all words of the text (times DENSE, FULL at most), for a word that insults where it is
+frequent may be harmless where it stands alone. Two more are the same for all landmarks together, each counted by how
+surely it goes with the label. In the Nystroem space of the landmarks a linear machine with squared hinge loss tells
+the sentences apart. A text is as toxic as its most telling sentence; decision values are turned into probabilities by
+isotonic regression on held-out folds.
+
+Kernels below FLOOR count as 0, and only units that hold 0.6 of the letter pairs of a landmark, side by side or with one
+letter between, are computed at all. Training looks at the SENTENCES sentences of a labelled text nearest to landmarks.
+Very long texts are read whole; columns of any other name, clashing ones too, change nothing. Empty tables give none.
 Null and empty texts have no units and get the score of a text without any. Without labels of both kinds every score
 is the share of label 1 (0 without any labels). Repeated rows each get a row. Rows of labels that are null are left
 out; of conflicting labels of an id the largest counts.
@@ -19,6 +26,7 @@ Bounds of what is fitted: `per_class` labelled documents of each class, `candida
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,11 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, text_or_empty
+from .common import in_pieces, of_texts, text_or_empty, tidy
 
 ORDER = 3
-DECAY = 0.6
+DECAY = 0.8
 FLOOR = 0.3
+#: One word in so many that is as a landmark makes a text's convolution kernel with it 1; it counts up to FULL.
+DENSE, FULL = 50, 1.5
+#: Letters of beginnings of units that may be landmarks.
+BEGINNINGS = range(4, 9)
+#: Least letters of a unit that is also seen without every second one.
+SPACED = 7
 #: Letters of a unit seen at once; longer units are windows that overlap by half.
 SPAN = 24
 CACHE = 300_000
@@ -48,6 +62,7 @@ def unit(run: str) -> str:
 
 
 def windows(u: str) -> list[str]:
+    """A unit as it is compared, in windows of SPAN letters."""
     return [u] if len(u) <= SPAN else [u[k : k + SPAN] for k in range(0, len(u) - SPAN // 2, SPAN // 2)]
 
 
@@ -98,42 +113,44 @@ def similarity(a: list[str], b: list[str]) -> np.ndarray:
     return kernel(a, b) / np.sqrt(self_[i] * self_[j])
 
 
-def pairs_of(words: list[str], gaps: tuple[int, ...] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of words, and which letter pairs (side by side or with one letter between) each has, by hash slot."""
-    codes = _codes([w or "\0" for w in words])
+def pairs_of(codes: np.ndarray, gaps: tuple[int, ...] = (1, 2)) -> np.ndarray:
+    """Which letter pairs (side by side or with one letter between) each row of code points has, by hash slot."""
     wide = codes.astype(np.int64)
-    out = np.zeros((len(words), PAIR_SLOTS), dtype=np.float32)
+    out = np.zeros((len(codes), PAIR_SLOTS), dtype=np.float32)
     for gap in gaps:
         if wide.shape[1] > gap:
             x, y = wide[:, :-gap], wide[:, gap:]
-            i, j = np.nonzero((x > 0) & (y > 0))
+            i, j = np.nonzero(y)
             out[i, (x[i, j] * 31 + y[i, j] * 977) % PAIR_SLOTS] = 1
-    return codes, out
+    return out
 
 
 @dataclass
 class Model:
     landmarks: list[str] = field(default_factory=list)
+    #: how surely each goes with label 1, 0 to 1
+    trust: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
-    #: probability = 1 / (1 + exp(-(slope * decision + shift)))
-    slope: float = 1.0
-    shift: float = 0.0
+    #: probabilities at decision values, straight lines between
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    chance: np.ndarray = field(default_factory=lambda: np.zeros(1))
     constant: float | None = None
 
 
 class Values:
     """Largest kernels of texts with landmarks; remembers those of runs."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: list[str], trust: np.ndarray):
+        self.landmarks, self.trust = landmarks, trust
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, max(1, len(landmarks))), dtype=np.float32)
         self.used = 1  # row 0: nothing near any landmark
         if landmarks:
-            self.codes, close = pairs_of(landmarks, (1,))
+            self.codes = _codes(landmarks)
+            close = pairs_of(self.codes, (1,))
             self.close = close.T.copy()
-            self.least = np.maximum(2, np.ceil(0.5 * close.sum(axis=1)))
+            self.least = np.maximum(2, np.ceil(0.6 * close.sum(axis=1)))
             self.self_ = kernel(landmarks, landmarks)
 
     def _learn(self, new: list[str]) -> None:
@@ -151,14 +168,16 @@ class Values:
         for k in range(0, len(order), 4096):
             part = [names[x] for x in order[k : k + 4096]]
             own = np.array([units[x] for x in order[k : k + 4096]])
-            codes, pairs = pairs_of(part)
-            i, j = np.nonzero(pairs @ self.close >= self.least)
+            codes = _codes(part)
+            i, j = np.nonzero(pairs_of(codes) @ self.close >= self.least)
             if not len(i):
                 continue
             near, where = np.unique(i, return_inverse=True)
-            self_ = _kernel(codes[near], codes[near])
-            value = np.concatenate([_kernel(codes[i[c : c + 8192]], self.codes[j[c : c + 8192]]) for c in range(0, len(i), 8192)])
-            value /= np.sqrt(np.maximum(self_[where] * self.self_[j], 1e-300))
+            value = self._normalised(codes[near], where, j)
+            # where pairs with a letter between do alone, the unit is also seen without every second letter
+            spaced = (pairs_of(codes[near], (2,)) @ self.close >= self.least)[where, j] & (codes[near, SPACED - 1] > 0 if codes.shape[1] >= SPACED else np.zeros(len(near), bool))[where]
+            for first in (0, 1) if spaced.any() else ():
+                value[spaced] = np.maximum(value[spaced], self._normalised(codes[near, first::2], where[spaced], j[spaced]))
             keep = value >= FLOOR
             at, j, value = own[i[keep]], j[keep], value[keep]
             fresh = np.unique(at[place[at] == 0])
@@ -170,24 +189,38 @@ class Values:
             np.maximum.at(self.table, (place[at], j), value)
         self.rows.update(zip(new, place[owner].tolist()))
 
+    def _normalised(self, codes: np.ndarray, where: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Normalised kernels of rows codes[where] with landmarks j."""
+        own = _kernel(codes, codes)
+        value = np.concatenate([_kernel(codes[where[c : c + 8192]], self.codes[j[c : c + 8192]]) for c in range(0, len(j), 8192)])
+        return value / np.sqrt(np.maximum(own[where] * self.self_[j], 1e-300))
+
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Values of all sentences that are near any landmark, and the text that each is of."""
-        if not self.landmarks:
-            return np.zeros((0, 0), dtype=np.float32), np.zeros(0, dtype=np.int64)
-        split = [sentences(t) for t in texts]
+        """Values of all sentences that are near any landmark, and the text that each is of.
+
+        A row holds the largest kernels, the text's convolution kernels, and the same two over all landmarks."""
+        n = len(self.landmarks)
+        split = [sentences(t) for t in texts] if n else []
         if len(self.rows) > CACHE:
             self.rows, self.used = {}, 1
         self._learn(sorted({r for x in split for y in x for r in y if r not in self.rows}))
         get = self.rows.__getitem__
         flat = np.fromiter((get(r) for x in split for y in x for r in y), dtype=np.int64)
         sentence = np.repeat(np.arange(sum(map(len, split))), [len(y) for x in split for y in x])
-        doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+        doc = np.repeat(np.arange(len(split)), [len(x) for x in split])
         hit = flat > 0
         which, flat = sentence[hit], flat[hit]
         if not len(flat):
-            return np.zeros((0, len(self.landmarks)), dtype=np.float32), np.zeros(0, dtype=np.int64)
+            return np.zeros((0, 2 * n + 2), dtype=np.float32), np.zeros(0, dtype=np.int64)
+        words = np.bincount(doc, weights=[len(y) for x in split for y in x], minlength=len(texts))
+        kernels = np.c_[self.table[flat], (self.table[flat] * self.trust).max(axis=1)]
         starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-        return np.maximum.reduceat(self.table[flat], starts, axis=0), doc[which[starts]]
+        of = doc[which[starts]]
+        own = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])  # texts begin at these sentences
+        sums = np.add.reduceat(np.add.reduceat(kernels, starts, axis=0), own, axis=0)
+        dense = np.minimum(FULL, sums * (DENSE / words[of[own]])[:, None]).astype(np.float32)
+        most, dense = np.maximum.reduceat(kernels, starts, axis=0), np.repeat(dense, np.diff(np.r_[own, len(of)]), axis=0)
+        return np.c_[most[:, :n], dense[:, :n], most[:, n], dense[:, n]], of
 
 
 def spread(candidates: list[str], count: int, apart: float = 0.6) -> list[str]:
@@ -240,22 +273,27 @@ def machine(values: np.ndarray, gram: np.ndarray, y: np.ndarray, cost: float = 2
     return w[:-1], float(w[-1])
 
 
-def logistic(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that turn decision values into probabilities."""
-    hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-    t = np.where(y > 0, hi, lo)
-    v = np.array([1.0, 0.0])
-    z = np.c_[d, np.ones(len(d))]
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
-        g = z.T @ (p - t) + 1e-6 * v
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        v = v - step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(v[0]), float(v[1])
+def isotonic(d: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decision values and the probabilities of label 1 there: shares of runs of values, merged until none falls.
+
+    A run's share is drawn to that of all as by two texts more; inside a run the probability rises by a little, so
+    that order isn't lost."""
+    runs: list[list[float]] = []  # label 1, size, least and largest value
+    for value, label in sorted(zip(d.tolist(), y.tolist())):
+        runs.append([label, 1, value, value])
+        while len(runs) > 1 and runs[-2][0] * runs[-1][1] >= runs[-1][0] * runs[-2][1]:
+            k, n, _, high = runs.pop()
+            runs[-1] = [runs[-1][0] + k, runs[-1][1] + n, runs[-1][2], high]
+    share = np.maximum.accumulate([(k + 2 * y.mean()) / (n + 2) for k, n, _, _ in runs])
+    step = 0.05 * np.diff(np.r_[0, share, 1])
+    ends = np.array([r[2:] for r in runs])
+    return ends.ravel(), np.stack([share - step[:-1], share + step[1:]], axis=1).ravel()
+
+
+def chances(model: Model, decisions: np.ndarray) -> np.ndarray:
+    """Probabilities of label 1; beyond the values seen they still rise."""
+    beyond = np.minimum(1, np.maximum(0, decisions - model.at[-1])) - np.minimum(1, np.maximum(0, model.at[0] - decisions))
+    return np.clip(np.interp(decisions, model.at, model.chance) + 0.01 * beyond, 0, 1)
 
 
 def decide(model: Model, values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -265,17 +303,19 @@ def decide(model: Model, values: np.ndarray, doc: np.ndarray, n: int) -> np.ndar
     return out
 
 
-def fit(landmarks: list[str], values: np.ndarray, doc: np.ndarray, y: np.ndarray, folds: int = 3, rounds: int = 3) -> Model:
+def fit(landmarks: list[str], trust: np.ndarray, values: np.ndarray, doc: np.ndarray, y: np.ndarray, folds: int = 3, rounds: int = 3) -> Model:
     """y: 0 or 1 for each text. A text of label 1 has at least one telling sentence: the one that the machine of
     the round before finds most telling (at first, the one nearest to the foremost landmarks) stands for it."""
     gram = similarity([a for a in landmarks for _ in landmarks], landmarks * len(landmarks)).reshape(len(landmarks), len(landmarks))
-    gram = (gram + gram.T) / 2
+    n, half = len(landmarks), (gram + gram.T) / 2
+    gram = np.eye(2 * n + 2)
+    gram[:n, :n] = gram[n:-2, n:-2] = half
     values = values.astype(np.float64)
     none = np.setdiff1d(np.arange(len(y)), doc)  # texts without a sentence near any landmark
     values, doc = np.r_[values, np.zeros((len(none), values.shape[1]))], np.r_[doc, none]
 
     def train(own: np.ndarray) -> tuple[np.ndarray, float]:
-        told, w, b = values @ (1 / np.sqrt(1 + np.arange(len(landmarks)))) , np.zeros(len(landmarks)), 0.0
+        told, w, b = values @ np.r_[np.tile(1 / np.sqrt(1 + np.arange(n)), 2), 1, 1], np.zeros(len(gram)), 0.0
         for _ in range(rounds):
             order = np.lexsort((-told, doc))
             first = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]
@@ -290,10 +330,9 @@ def fit(landmarks: list[str], values: np.ndarray, doc: np.ndarray, y: np.ndarray
     held = np.zeros(len(y))
     for k in range(folds):
         w, b = train(fold != k)
-        held[fold == k] = decide(Model(landmarks, w, b), values, doc, len(y))[fold == k]
+        held[fold == k] = decide(Model(landmarks, trust, w, b), values, doc, len(y))[fold == k]
     w, b = train(fold >= 0)
-    slope, shift = logistic(held, y)
-    return Model(landmarks, w, b, max(slope, 1e-6), shift)
+    return Model(landmarks, trust, w, b, *isotonic(held, y))
 
 
 def learn(
@@ -311,35 +350,51 @@ def learn(
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches, "_text"):
+            found: dict[str, list[int]] = {}
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted({w for x in sentences(text) for r in x if ORDER <= len(w := unit(r)) <= 16})
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(found, pa.string())], ["y", "unit"])
+                own = Counter(w for x in sentences(text) for r in x if ORDER <= len(w := unit(r)) <= 16)
+                for w, n in list(own.items()):
+                    for k in BEGINNINGS:
+                        if k < len(w):
+                            own[w[:k]] += n
+                for w, n in own.items():
+                    row = found.setdefault(w, [0, 0, 0, 0])
+                    row[y] += 1
+                    row[2 + y] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([r[k] for r in found.values()], pa.int64()) for k in range(4))], ["unit", "d0", "d1", "c0", "c1"])
 
     sizes = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
+        rows.unpersist()
         return Model(constant=n1 / (n1 + n0) if n1 + n0 else 0.0)
-    seen = rows.select("_y", "_text").mapInArrow(units, "y int, unit string").groupBy("unit").agg(F.sum("y").alias("n1"), F.count("*").alias("n"))
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n") - F.col("n1") + 0.5) / (n0 + 1.0))
-    told = seen.filter((F.col("n1") >= max(3, round(0.006 * n1))) & (odds > 2)).orderBy((F.sqrt("n1") * odds).desc(), "unit").limit(candidates)
-    names = spread([r[0] for r in told.select("unit").collect()], landmarks)
+    seen = rows.select("_y", "_text").mapInArrow(tidy(units), "unit string, d0 long, d1 long, c0 long, c1 long").groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "c0", "c1"))).cache()
+    m0, m1 = seen.agg(F.sum("c0"), F.sum("c1")).first()
+    odds = lambda a, b, n, m: F.log((F.col(a) + 0.5) / (n + 1.0)) - F.log((F.col(b) + 0.5) / (m + 1.0))
+    often = odds("c1", "c0", float(m1 or 0), float(m0 or 0))  # by words
+    sure = odds("d1", "d0", float(n1), float(n0)) - 1.64 * F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))  # by texts, the least that is likely
+    told = seen.filter((F.col("d1") >= max(3, round(0.006 * n1))) & (often > 1.5)).orderBy((F.sqrt("d1") * often).desc(), "unit").limit(candidates)
+    trusted = {r[0]: min(1.0, max(0.05, r[1] / 4)) ** 2 for r in told.select("unit", sure).collect()}
+    seen.unpersist()
+    names = spread(list(trusted), landmarks)
+    trust = np.array([trusted[x] for x in names], dtype=np.float32)
     if not names:
         rows.unpersist()
         return Model(constant=n1 / (n1 + n0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = Values(names)
+        values = Values(names, trust)
         for batch in in_pieces(batches, "_text"):
             v, doc = values.of(batch.column(2).to_pylist())
             near = [v[doc == i] for i in range(batch.num_rows)]
-            near = [x[np.argsort(-x.max(axis=1), kind="stable")[:SENTENCES]] if len(x) else x for x in near]
+            near = [x[np.argsort(-x[:, : len(names)].max(axis=1), kind="stable")[:SENTENCES]] if len(x) else x for x in near]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.ravel() for x in near], pa.list_(pa.float32()))], ["id", "y", "v"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    table = rows.select("_doc", "_y", "_text").mapInArrow(measure, f"id {kind}, y int, v array<float>").toPandas().sort_values("id")
+    table = rows.select("_doc", "_y", "_text").mapInArrow(tidy(measure), f"id {kind}, y int, v array<float>").toPandas().sort_values("id")
     rows.unpersist()
-    near = [np.asarray(v, dtype=np.float32).reshape(-1, len(names)) for v in table["v"]]
-    return fit(names, np.concatenate(near), np.repeat(np.arange(len(near)), [len(x) for x in near]), table["y"].to_numpy())
+    near = [np.asarray(v, dtype=np.float32).reshape(-1, 2 * len(names) + 2) for v in table["v"]]
+    return fit(names, trust, np.concatenate(near), np.repeat(np.arange(len(near)), [len(x) for x in near]), table["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,19 +402,14 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
     kept = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and their weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(pieces: Iterator[list[str]]) -> Iterator[pa.Array]:
         m = shared.value
-        values = Values(m.landmarks)
-        for batch in in_pieces(batches, "_text", 4 << 20):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+        values = Values(m.landmarks, m.trust)
+        for texts in pieces:
             if m.constant is not None:
-                p = np.full(len(texts), m.constant)
+                yield pa.array(np.full(len(texts), m.constant), pa.float64())
             else:
-                d = decide(m, *values.of(texts), len(texts))
-                p = 1 / (1 + np.exp(-np.clip(m.slope * d + m.shift, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], out)
-
-    plan = docs.select(*(docs[c].alias(f"_k{i}") for i, c in enumerate(kept)), text_or_empty(text_col).alias("_text"))
-    out = [*plan.columns[:-1], "_score"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plan.schema.fields[:-1])
-    return plan.mapInArrow(run, f"{schema}, _score double").toDF(*kept, "score")
+                yield pa.array(chances(m, decide(m, *values.of(texts), len(texts))), pa.float64())
+
+    plan = docs.select(*(docs[c].alias(f"_k{i}") for i, c in enumerate(kept)), of_texts(run, "double", text_or_empty(text_col)).alias("_score"))
+    return plan.toDF(*kept, "score")

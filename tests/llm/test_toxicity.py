@@ -25,11 +25,35 @@ def test_kernel_is_brute_force():
 
 def test_values_are_largest_kernels():
     marks = ["idiot", "moron"]
-    v = tx.Values(marks)
-    got, doc = v.of(["You idxiot. fine", "nothing here", "i d i o t", "m.o.r.o.n!", ""])
-    assert set(doc) >= {0, 2, 3} and 1 not in doc and 4 not in doc
-    assert np.isclose(got[doc == 0].max(), tx.similarity(["idxiot"], ["idiot"])[0], atol=1e-6)
-    assert np.isclose(got[doc == 2].max(), 1) and np.isclose(got[doc == 3, 1].max(), 1)
+    v = tx.Values(marks, np.array([1.0, 0.5], dtype=np.float32))
+    got, doc = v.of(["You idxiot. fine", "nothing here", "i d i o t", "m.o.r.o.n!", "", "a ixdxixoxt", "id" + 48 * " fine iddiiot"])
+    assert set(doc) >= {0, 2, 3, 5, 6} and 1 not in doc and 4 not in doc
+    near = tx.similarity(["idxiot", "iddiiot"], ["idiot", "idiot"])
+    assert np.isclose(got[doc == 0, :2].max(), near[0], atol=1e-6)
+    assert np.isclose(got[doc == 2, :2].max(), 1) and np.isclose(got[doc == 3, 1].max(), 1)
+    assert np.isclose(got[doc == 5, 0].max(), 1)  # a letter between any two
+    # the mean over all words, times DENSE, and the two values over all landmarks
+    assert np.isclose(got[doc == 6, 2].max(), min(tx.FULL, tx.DENSE * 48 * near[1] / 97), atol=1e-5)
+    assert np.isclose(got[doc == 3, 4].max(), 0.5) and got.shape[1] == 6
+
+
+def test_two_inserted_characters_are_near():
+    marks = ["idiot", "worthless", "zuvkel"]
+    v = tx.Values(marks, np.ones(3, dtype=np.float32))
+    for k, text in ((0, "idxizot"), (0, "i.d.x.i.o.t"), (1, "wo#rthx less worxthxless"), (2, "zxuvkxel"), (2, "zxuxvxkxexl")):
+        got, _ = v.of([text])
+        assert got[:, k].max() >= tx.FLOOR, text
+
+
+def test_isotonic_is_monotone_and_calibrated():
+    rng = np.random.default_rng(3)
+    d = rng.normal(size=3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-3 * d))).astype(int)
+    model = tx.Model(["a"], np.ones(1), np.zeros(4), 0.0, *tx.isotonic(d, y))
+    grid = np.linspace(-5, 5, 400)
+    p = tx.chances(model, grid)
+    assert (np.diff(p) >= 0).all() and p.min() >= 0 and p.max() <= 1
+    assert np.abs(p - 1 / (1 + np.exp(-3 * grid))).max() < 0.12
 
 
 def corpus(n=400, seed=2):
