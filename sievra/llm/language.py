@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, text_or_empty
+from .common import in_pieces, of_texts, text_or_empty, tidy
 
 UNKNOWN = "und"
 #: Trigram hash buckets.
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     slot, n = np.unique(trigrams(words)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int64()), pa.array(n, pa.int64())], ["lang", "slot", "n"])
 
-    counted = sample.mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # slots x languages rows at most
+    counted = sample.mapInArrow(tidy(run), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # slots x languages rows at most
     languages = sorted(sizes)
     table = np.zeros((SLOTS, len(languages)))
     table[counted["slot"].to_numpy(dtype=np.int64), [languages.index(x) for x in counted["lang"]]] = counted["n"].to_numpy(dtype=np.float64)
@@ -210,11 +210,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, id_co
     kept = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots x languages numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(pieces: Iterator[list[str]]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         names = shared.value.languages
-        for batch in in_pieces(batches, "_text", 4 << 20):
-            theta, count, unknown = scorer.mixtures(batch.column(batch.num_columns - 1).to_pylist())
+        for texts in pieces:
+            theta, count, unknown = scorer.mixtures(texts)
             pred, score, sets = [], [], []
             for row, n in zip(theta, count):
                 if not n or not len(names):
@@ -226,9 +226,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, id_co
                     pred.append(names[order[0]])
                     score.append(float(min(1.0, row[order[0]])))
                     sets.append([names[i] for i in order])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(unknown, pa.float64())], out)
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(unknown, pa.float64())], ["pred", "score", "set", "unknown"])
 
-    plan = docs.select(*(docs[c].alias(f"_k{i}") for i, c in enumerate(kept)), text_or_empty(text_col).alias("_text"))
-    out = [*plan.columns[:-1], "_pred", "_score", "_set", "_unknown"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plan.schema.fields[:-1])
-    return plan.mapInArrow(run, f"{schema}, _pred string, _score double, _set array<string>, _unknown double").toDF(*kept, "lang_pred", "score", "languages", "unknown")
+    found = of_texts(run, "pred string, score double, set array<string>, unknown double", text_or_empty(text_col))
+    plan = docs.select(*(docs[c].alias(f"_k{i}") for i, c in enumerate(kept)), found.alias("_found"))
+    return plan.select(*plan.columns[:-1], "_found.*").toDF(*kept, "lang_pred", "score", "languages", "unknown")

@@ -43,7 +43,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(load(spark, sf_dir, "documents"), 200).drop("kept", "kept_text")
+    return suffix.remove_repeats(load(spark, sf_dir, "documents"), 200, rest="none")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, stage, text_or_empty
+from .common import in_batches, in_pieces, stage, text_or_empty, tidy
 
 HOT = 2000
 STEP = 1 << 22
@@ -161,7 +161,7 @@ def removed_spans(docs: DataFrame, length: int = 200, q: int | None = None) -> D
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(h_, pa.int64()), pa.array(c_, pa.int64()), pa.array(at_, pa.list_(pa.int32())), pa.array(n_, pa.int32())], names)
 
-    found = stage(docs.select("_id", "_text", "_key").mapInArrow(mark, f"_id {kind}, _key long, h long, c long, at array<int>, n int"), "anchors")
+    found = stage(docs.select("_id", "_text", "_key").mapInArrow(tidy(mark), f"_id {kind}, _key long, h long, c long, at array<int>, n int"), "anchors")
     twice = found.groupBy("h").agg(F.sum("n").alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("times > 1")
     # written, so that adaptive execution sees two plain sides and can split an anchor that very many documents have
     twice = stage(twice.select(F.col("h").alias("h2"), (F.col("c1") == F.col("c2")).alias("alike")), "twice")
@@ -200,10 +200,10 @@ def removed_spans(docs: DataFrame, length: int = 200, q: int | None = None) -> D
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h_, pa.int64()), pa.array(at_, pa.int32()), pa.array(hot_, pa.bool_()), pa.array(start_, pa.int64()), pa.array(data, pa.binary())], ["_id", "_key", "h", "at", "hot", "start", "data"])
 
-    contexts = stage(both.mapInArrow(cut, f"_id {kind}, _key long, h long, at int, hot boolean, start long, data binary"), "cuts")
+    contexts = stage(both.mapInArrow(tidy(cut), f"_id {kind}, _key long, h long, at int, hot boolean, start long, data binary"), "cuts")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorts the contexts of whole anchors, a megabyte or two at a time."""
+        """Sorts the contexts of whole anchors, about a megabyte at a time."""
 
         def sorted_(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(rows).combine_chunks()
@@ -239,8 +239,8 @@ def removed_spans(docs: DataFrame, length: int = 200, q: int | None = None) -> D
 
         held, size = [], 0
         for whole_ in batches:
-            for batch in in_pieces(iter([whole_]), "data", 1 << 19):
-                if size > 3 << 19:
+            for batch in in_pieces(iter([whole_]), "data", 1 << 18):
+                if size > 1 << 20:
                     h = batch.column(2).to_numpy()
                     old = held[-1].column(2)[-1].as_py()
                     new = int(np.argmax(h != old)) if (h != old).any() else batch.num_rows
@@ -255,7 +255,7 @@ def removed_spans(docs: DataFrame, length: int = 200, q: int | None = None) -> D
             yield from sorted_(held)
 
     cool = contexts.filter(~F.col("hot")).drop("hot").select("_id", "_key", "h", "at", "start", F.lit(0).alias("x"), "data")
-    spans = spans.unionByName(cool.repartition("h").sortWithinPartitions("h").mapInArrow(sort, f"_id {kind}, _key long, start long, end long"))
+    spans = spans.unionByName(cool.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), f"_id {kind}, _key long, start long, end long"))
     if hot:
         spans = spans.unionByName(_refined_over_cluster(contexts.filter("hot"), length, reach, kind))
     return spans
@@ -284,7 +284,7 @@ def _refined_over_cluster(contexts: DataFrame, length: int, reach: int, kind: st
                 take = pa.array(rows_, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(lo_, pa.int32()), pa.array(hi_, pa.int32()), batch.column(3).take(take), batch.column(4).take(take), batch.column(5).take(take), batch.column(6).take(take), pa.array(inner, pa.binary()), pa.array(outer, pa.binary())], ["at", "lo", "hi", "data", "_id", "_key", "start", "inner", "outer"])
 
-        return rows.mapInArrow(run, f"at int, lo int, hi int, data binary, _id {kind}, _key long, start long, inner binary, outer binary")
+        return rows.mapInArrow(tidy(run), f"at int, lo int, hi int, data binary, _id {kind}, _key long, start long, inner binary, outer binary")
 
     def repeated(rows: DataFrame, name: str) -> DataFrame:
         place = F.struct("_id", "_key", (F.col("start") + F.col("at") - F.col("lo")).alias("p"))
@@ -311,44 +311,51 @@ def _refined_over_cluster(contexts: DataFrame, length: int, reach: int, kind: st
         width = (width + 1) // 2
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id or kept columns, n_bytes, n_removed, n_spans, kept_sha256, kept binary, kept_text): what is left of each text.
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rest: str = "bytes") -> DataFrame:
+    """(id or kept columns, n_bytes, n_removed, n_spans, kept_sha256 and, by `rest`, what is left of each text).
 
-    kept_text is without characters of which only some bytes are left."""
+    rest="bytes": kept, the bytes that are left; "text": kept_text, without characters of which only some bytes are
+    left; "none": neither. Texts cross to Python as often as one form needs and come back in that form only.
+    """
     cols = keep or [id_col]
     plan = docs.select(*(docs[c].alias(f"_c{i}") for i, c in enumerate(cols)), docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text"))
     plan = plan.withColumn("_key", F.xxhash64("_text"))
     spans = removed_spans(plan.select("_id", "_text", "_key"), length)
     per = spans.groupBy(F.col("_id").alias("_id2"), F.col("_key").alias("_key2")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document each
     both = plan.join(per, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left")
-    both = both.select(*(f"_c{i}" for i in range(len(cols))), "_text", "spans")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields[: len(cols)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*(f"_c{i}" for i in range(len(cols))), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
-        for batch in in_pieces(batches, "_text", 4 << 20):
-            n, gone, count, sha, kept, plain = [], [], [], [], [], []
-            for text, list_ in zip(batch.column(len(cols)).to_pylist(), batch.column(len(cols) + 1).to_pylist()):
+    def left(raw: bytes, list_: list[dict] | None) -> tuple[list[bytes], int]:
+        """What is left of the bytes, in pieces, and how many runs are gone."""
+        merged: list[list[int]] = []
+        for s in sorted((x["start"], min(x["end"], len(raw))) for x in list_ or []):
+            if merged and s[0] <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s[1])
+            else:
+                merged.append(list(s))
+        at = [0, *(x for s in merged for x in s), len(raw)]
+        return [raw[a:z] for a, z in zip(at[::2], at[1::2])], len(merged)
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in in_pieces((pa.RecordBatch.from_arrays(list(c), ["text", "spans"]) for c in columns), "text", 4 << 20):
+            n, gone, count, sha, kept = [], [], [], [], []
+            for text, list_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
-                merged: list[list[int]] = []
-                for s in sorted((x["start"], min(x["end"], len(raw))) for x in list_ or []):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
-                rest, at = [], 0
-                for a, z in merged:
-                    rest.append(raw[at:a])
-                    at = z
-                rest.append(raw[at:])
-                left = b"".join(rest)
+                pieces, runs = left(raw, list_)
+                whole = b"".join(pieces)
                 n.append(len(raw))
-                gone.append(len(raw) - len(left))
-                count.append(len(merged))
-                sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-                plain.append("".join([x.decode("utf-8", "ignore") for x in rest]) if merged else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(plain, pa.string())], names)
-
-    out = both.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
-    return out.toDF(*cols, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
+                gone.append(len(raw) - len(whole))
+                count.append(runs)
+                sha.append(hashlib.sha256(whole).hexdigest())
+                if rest == "bytes":
+                    kept.append(whole)
+                elif rest == "text":
+                    kept.append("".join([x.decode("utf-8", "ignore") for x in pieces]) if runs else text)
+            out = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.StructArray.from_arrays([*out, *([pa.array(kept, pa.binary() if rest == "bytes" else pa.string())] if rest != "none" else [])], names)
+
+    last = {"bytes": [("kept", "binary")], "text": [("kept_text", "string")], "none": []}[rest]
+    fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), *last]
+    names = [name for name, _ in fields]
+    found = in_batches(run, ", ".join(f"{name} {kind}" for name, kind in fields))(both["_text"], both["spans"])
+    out = both.select(*(f"_c{i}" for i in range(len(cols))), found.alias("_found"))
+    return out.select(*out.columns[:-1], "_found.*").toDF(*cols, *names)
