@@ -1,12 +1,18 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each sentence is normalised (ASCII lower case; runs of anything but letters, digits,
-'.' and '+' become one blank; blanks and full stops at the ends go) and looked up among known licence sentences. What
-isn't known is passed over; the identifiers found, in order, are the text's sequence. A rule names a licence
-and the identifiers that must follow each other in the sequence. A licence is reported once however often it occurs.
+A text is read in ASCII lower case. Line ends with the indentation and the comment mark behind them count as a blank,
+so a sentence may run over lines; blank lines, and '.', '!', '?' and ':' before white space end it ("v. 2" and
+"spdx-license-identifier:" don't). A sentence is normalised (runs of anything but letters, digits, '.' and '+' become
+one blank; blanks and full stops at the ends go) and mapped to an identifier: that of a known licence sentence that it
+equals, of the licence that it refers to by name anywhere in it ("... licensed under the MIT License, see ..."), or of
+the one or two licences of an SPDX tag. What isn't known is passed over; the identifiers found, in order, are the
+text's sequence. A rule names a licence and identifiers that must follow each other in the sequence, with others
+between them or not; where a rule that holds all identifiers of another matches, that other one doesn't count. A
+licence is reported once however often it occurs.
 
 Everything is an expression inside the scan: no shuffle, no Python. Null, empty and letterless texts have an empty
-sequence and no licence. Repeated rows each get a row.
+sequence and no licence. Repeated rows each get a row, empty tables none; very long texts are read whole; ties can't
+arise; columns of any other name, clashing ones too, change nothing.
 """
 
 from __future__ import annotations
@@ -50,19 +56,9 @@ NAMES = {
     "creative commons attribution sharealike 4.0 international license": "CC-BY-SA-4.0",
     "creative commons attribution noncommercial 4.0 international license": "CC-BY-NC-4.0",
 }
-# How sentences refer to a licence by name.
-REFERENCES = (
-    "licensed under",
-    "released under",
-    "distributed under",
-    "available under",
-    "this work is licensed under",
-    "this file is licensed under",
-    "this software is licensed under",
-    "this project is licensed under",
-    "this software is released under",
-    "this program is distributed under",
-)
+# How sentences refer to a licence by name, a pattern.
+REFERENCE = "(?:licensed|released|distributed|available|provided|published|covered) under (?:the terms of )?(?:the |an? )?"
+TAG = "spdx license identifier "
 # Sentences of licence texts and notices, normalised, and their identifiers.
 SENTENCES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
@@ -76,16 +72,18 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
-    "licensed under the apache license version 2.0 the license": "apache-notice",
-    "you may not use this file except in compliance with the license": "apache-use",
+    "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license": "apache-notice",
     "you may obtain a copy of the license at http www.apache.org licenses license 2.0": "apache-copy",
     "see the license for the specific language governing permissions and limitations under the license": "apache-see",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
-    "this program is free software": "free-software",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-useful",
     "this program is distributed in the hope that it will be useful but without any warranty": "gpl-useful",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl-terms",
+    "this source code form is subject to the terms of the mozilla public license v.2.0": "mpl-terms",
     "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0": "mpl-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "mpl-copy",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 # Ordered rules, a licence and the identifiers that follow each other.
@@ -94,62 +92,136 @@ RULES = (
     ("ISC", ("isc-grant", "isc-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
-    ("Apache-2.0", ("apache-notice", "apache-use")),
-    ("GPL-2.0-or-later", ("free-software", "gpl2-later")),
-    ("GPL-3.0-or-later", ("free-software", "gpl3-later")),
+    ("Apache-2.0", ("apache-notice",)),
+    ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-3.0-or-later", ("gpl3-later",)),
     ("MPL-2.0", ("mpl-terms",)),
     ("Unlicense", ("unlicense",)),
 )
+# Further identifiers that a tag may name.
+TAGS = ("GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "0BSD")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: No known sentence lacks all of these.
-SIGNS = "licen|permi|redistribut|free software|unencumbered|hope that it|software is provided|software foundation|shall|mpl"
+SIGNS = "licen|permi|redistribut|free software|unencumbered|hope that it|software is provided|software foundation|shall|mpl|under"
+# What is replaced before sentences are cut, in order, and by what: $1 is the group. CUT stands where a sentence ends.
+CUT = "\x01"
+STEPS = (
+    ("\r\n?", "\n"),
+    (r"\n[ \t\f]*(?://+!?|#+|/?\*+/?|;+|-+|%+|<!--)?[ \t\f]*", "\n"),
+    (r"([^a-z0-9]v)\. +", "$1."),
+    (r"spdx-license-identifier:[ \t]*", TAG),
+    (r"\n\n+", CUT),
+    (r"([.!?:])[ \t\n\f]+", "$1" + CUT),
+)
+NORMAL = (("[^a-z0-9.+]+", " "), ("^[ .]+|[ .]+$", ""))
+
+
+def tags() -> dict[str, str]:
+    """Normalised SPDX identifiers and the identifiers."""
+    names = {*NAMES.values(), *(name for name, _ in RULES), *TAGS}
+    return {x.lower().replace("-", " "): x for x in sorted(names)}
+
 
+def _any_of(names: dict[str, str]) -> str:
+    """A pattern for any of the names, the longest that fits."""
+    return "(" + "|".join(n.replace(".", r"\.").replace("+", r"\+") for n in sorted(names, key=lambda n: (-len(n), n))) + ")"
 
-def known_sentences() -> dict[str, str]:
-    """Normalised sentence -> identifier: the texts' sentences, and every reference by name with and without an article."""
-    out = {f"{how} {the}{name}": f"ref-{spdx}" for how in REFERENCES for the in ("", "the ", "a ") for name, spdx in NAMES.items()}
-    return out | SENTENCES
+
+def reference_pattern() -> str:
+    return f"{REFERENCE}{_any_of(NAMES)}(?: |$)"
+
+
+def tag_pattern() -> str:
+    return f"^{TAG}{_any_of(tags())}(?: (?:or|and) {_any_of(tags())})?(?: |$)"
 
 
 def rules() -> list[tuple[str, tuple[str, ...]]]:
-    return [*RULES, *((spdx, (f"ref-{spdx}",)) for spdx in sorted(set(NAMES.values())))]
+    named = [(x, (f"ref-{x}",)) for x in sorted(set(NAMES.values()))]
+    return [*RULES, *named, *((x, (f"spdx-{x}",)) for x in sorted(tags().values()))]
+
+
+def wider(rule: tuple[str, tuple[str, ...]], known: list[tuple[str, tuple[str, ...]]]) -> list[tuple[str, ...]]:
+    """Rules that hold all identifiers of a rule in order, and more."""
+
+    def holds(ids: tuple[str, ...]) -> bool:
+        rest = iter(ids)
+        return len(ids) > len(rule[1]) and all(x in rest for x in rule[1])
+
+    return [ids for _, ids in known if holds(ids)]
 
 
 def sequence(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    low = F.translate(text, UPPER, LOWER)
-    cut = F.split(F.regexp_replace(low, r"([.!?;:])[ \t\r\n\f]+", "$1\n"), "\n")
-    plain = lambda s: F.regexp_replace(F.regexp_replace(s, "[^a-z0-9.+]+", " "), "^[ .]+|[ .]+$", "")
-    table = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
+    low = cut = F.translate(text, UPPER, LOWER)
+    for pattern, by in STEPS:
+        cut = F.regexp_replace(cut, pattern, by)
+
+    def plain(s: Column) -> Column:
+        for pattern, by in NORMAL:
+            s = F.regexp_replace(s, pattern, by)
+        return s
+
+    table = lambda names: F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    by_tag = {n: f"spdx-{x}" for n, x in tags().items()}
+
+    def identified(s: Column) -> Column:
+        name, first, second = F.regexp_extract(s, reference_pattern(), 1), F.regexp_extract(s, tag_pattern(), 1), F.regexp_extract(s, tag_pattern(), 2)
+        known = F.element_at(table(sentences), s)
+        named = F.element_at(table({n: f"ref-{x}" for n, x in NAMES.items()}), name)
+        tagged = F.concat_ws("  ", F.element_at(table(by_tag), first), F.element_at(table(by_tag), second))
+        return F.coalesce(known, F.when(s.contains("under "), named), F.when(s.startswith(TAG) & (first != ""), tagged))
+
     # only sentences with a sign are normalised and looked up
-    found = F.transform(F.filter(cut, lambda s: s.rlike(SIGNS) | s.rlike("under")), lambda s: F.element_at(table, plain(s)))
-    return F.when(low.rlike(SIGNS) | low.rlike("under"), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    marked = F.transform(F.filter(F.split(cut, CUT), lambda s: s.rlike(SIGNS)), plain)
+    return F.when(low.rlike(SIGNS), F.filter(F.transform(marked, identified), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, known: list[tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
     """(id, n_sentences known, sequence of identifiers, licenses by name): for each whole text."""
-    sentences, known = sentences or known_sentences(), known or rules()
+    sentences, known = sentences or SENTENCES, known or rules()
     rows = docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text"))
     rows = rows.select("_id", sequence(F.col("_text"), sentences).alias("_sequence"))
-    line = F.concat(F.lit(" "), F.array_join("_sequence", " "), F.lit(" "))
-    match = F.array(*(F.when(line.contains(" " + " ".join(ids) + " "), F.lit(name)) for name, ids in known))
-    names = F.array_sort(F.array_distinct(F.filter(match, lambda x: x.isNotNull())))
-    return rows.select(F.col("_id").alias(id_col), F.size("_sequence").cast("long").alias("n_sentences"), F.array_join("_sequence", " ").alias("sequence"), F.array_join(names, ",").alias("licenses"))
+    # two blanks between identifiers, so that each has one before and one behind it of its own
+    line = F.concat(F.lit(" "), F.array_join("_sequence", "  "), F.lit(" "))
+    follow = lambda ids: line.like("%" + "%".join(f" {x} " for x in ids) + "%")
+
+    def holds(rule: tuple[str, tuple[str, ...]]) -> Column:
+        out = follow(rule[1])
+        for ids in wider(rule, known):
+            out = out & ~follow(ids)
+        return out
+
+    match = F.array(*(F.when(holds(rule), F.lit(rule[0])) for rule in known))
+    names = F.when(F.size("_sequence") > 0, F.array_sort(F.array_distinct(F.filter(match, lambda x: x.isNotNull())))).otherwise(F.array().cast("array<string>"))
+    return rows.select(F.col("_id").alias(id_col), F.size("_sequence").cast("long").alias("n_sentences"), F.regexp_replace(F.array_join("_sequence", " "), "  +", " ").alias("sequence"), F.array_join(names, ",").alias("licenses"))
 
 
 def oracle() -> str:
     """The same scan as DuckDB SQL over the table documents."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    sentences = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in known_sentences().items())
-    cases = ", ".join(f"CASE WHEN contains(line, {quote(' ' + ' '.join(ids) + ' ')}) THEN {quote(name)} END" for name, ids in rules())
+
+    def replaced(expression: str, steps: tuple[tuple[str, str], ...]) -> str:
+        for pattern, by in steps:
+            expression = f"regexp_replace({expression}, {quote(pattern)}, {quote(by.replace('$1', chr(92) + '1'))}, 'g')"
+        return expression
+
+    values = lambda names: ", ".join(f"({quote(n)}, {quote(x)})" for n, x in names.items())
+    follow = lambda ids: "line LIKE " + quote("%" + "%".join(f" {x} " for x in ids) + "%")
+    cases = ", ".join(f"CASE WHEN {' AND NOT '.join(follow(x) for x in (ids, *wider((name, ids), rules())))} THEN {quote(name)} END" for name, ids in rules())
     return f"""
-WITH known(sentence, ident) AS (VALUES {sentences}),
+WITH known(sentence, ident) AS (VALUES {values(SENTENCES)}),
+named(name, ref) AS (VALUES {values({n: "ref-" + x for n, x in NAMES.items()})}),
+tags(tag, spdx) AS (VALUES {values({n: "spdx-" + x for n, x in tags().items()})}),
 numbered AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
-cut AS (SELECT r, unnest(string_split(regexp_replace(low, '([.!?;:])[ \\t\\r\\n\\f]+', '\\1' || chr(10), 'g'), chr(10))) AS s,
-               generate_subscripts(string_split(regexp_replace(low, '([.!?;:])[ \\t\\r\\n\\f]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS k FROM numbered),
-plain AS (SELECT r, k, regexp_replace(regexp_replace(s, '[^a-z0-9.+]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') AS sentence FROM cut),
-seq AS (SELECT r, count(*) AS n, string_agg(ident, ' ' ORDER BY k) AS ids FROM plain JOIN known USING (sentence) GROUP BY r),
-lines AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sequence, ' ' || coalesce(ids, '') || ' ' AS line FROM numbered LEFT JOIN seq USING (r))
-SELECT doc_id, n_sentences, sequence,
+whole AS (SELECT r, string_split({replaced("low", STEPS)}, {quote(CUT)}) AS parts FROM numbered),
+cut AS (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS k FROM whole),
+plain AS (SELECT r, k, {replaced("s", NORMAL)} AS sentence FROM cut WHERE regexp_matches(s, {quote(SIGNS)})),
+read AS (SELECT r, k, sentence, regexp_extract(sentence, {quote(reference_pattern())}, 1) AS name,
+                regexp_extract(sentence, {quote(tag_pattern())}, 1) AS t1, regexp_extract(sentence, {quote(tag_pattern())}, 2) AS t2 FROM plain),
+found AS (SELECT r, k, coalesce(ident, ref, a.spdx || coalesce('  ' || b.spdx, '')) AS id
+          FROM read LEFT JOIN known USING (sentence) LEFT JOIN named USING (name) LEFT JOIN tags a ON t1 = a.tag LEFT JOIN tags b ON t2 = b.tag),
+seq AS (SELECT r, count(*) AS n, string_agg(id, '  ' ORDER BY k) AS ids FROM found WHERE id IS NOT NULL GROUP BY r),
+lines AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS ids, ' ' || coalesce(ids, '') || ' ' AS line FROM numbered LEFT JOIN seq USING (r))
+SELECT doc_id, n_sentences, replace(ids, '  ', ' ') AS sequence,
        coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '') AS licenses
 FROM lines"""
