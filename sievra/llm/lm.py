@@ -1,19 +1,22 @@
 """Language-model scores by deleted interpolation.
 
-Words are read as the classes of a bigram model: each of the CLASSES most frequent words is a class of its own, all
-other words share one. The probability of a class after another mixes its bigram, its unigram and a uniform
-estimate; the weights depend on how frequent the context is (buckets of its count, by powers of two) and are
-learned by expectation-maximisation on counts that were held out from the estimates: a part of the training documents
-is deleted, the weights that make its counts likeliest are found, and the counts are put back. The probability of a
-word in the shared class mixes its relative frequency and a uniform share in the same way.
-
-All counts are over all training documents. Word counts are summed by hash over the cluster; the class bigrams fit
-in CLASSES * CLASSES cells whatever the corpus. Counts of words over a threshold, at most WORDS of them, are
-broadcast; occurrences of the others go to their counts in a join, and as each of these words is rare among the
-training documents, none holds much of it (adaptive execution splits what is frequent elsewhere).
-
-The base score is that of an add-one unigram model. Texts: null counts as empty: one token, the end. Without training
-documents the base is 0 a token and the model is uniform. Repeated rows each get a row.
+The probability of a word after another mixes its bigram, its unigram and a uniform estimate; the weights depend on how
+frequent the context is (buckets of its count, by powers of two) and are learned by expectation-maximisation on counts
+that were held out from the estimates: a part of the training documents is deleted, the weights that make its counts
+likeliest are found, and the counts are put back.
+
+All counts are over all documents. Words are counted by hash over the cluster. The vocabulary of the bigrams are the most
+frequent words, at most WORDS, which are broadcast with their counts; a rarer word is read as one class, and its
+probability inside the class mixes its relative frequency and a uniform share in the same way (its count comes by a
+join; it is rare among the training documents, so none holds much of it). Bigrams of the vocabulary and the class are
+counted whatever their number: a chunk of documents gives sorted runs of its distinct bigrams, one for each of as many
+buckets as the corpus needs, and a bucket's runs are merged in one place. The most frequent bigrams, at most PAIRS of
+them counted over all documents, are broadcast and scored where they stand; the other occurrences go to their bucket and
+come back as sums for each document. As a bigram beyond PAIRS is rare, no bucket is hot.
+
+The base score is that of an add-one unigram model. Texts: null counts as empty: one token, the end; very long texts are
+read whole. Without training documents the base is 0 a token and the model is uniform. Repeated rows each get a row;
+empty tables none. Columns of any other name, clashing ones too, change nothing. Ties in frequency go by hash.
 """
 
 from __future__ import annotations
@@ -24,20 +27,28 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_pieces, stage, text_or_empty, tidy
 
-CLASSES = 2048
-WORDS = 1 << 20
+#: Words of the vocabulary and bigrams that are broadcast, at most.
+WORDS, PAIRS = 1 << 20, 1 << 20
 CACHE = 400_000
 #: One of this many training documents is held out for the weights.
 HELD = 8
 BUCKETS = 40
-#: Exact word counts up to here, powers of two beyond, when the shared class is fitted.
+#: Exact counts up to here, eighths of powers of two beyond, where counts are put into bins.
 EXACT = 64
 END = b""  # no word is empty
+#: Tokens of a chunk, and of a bucket of bigrams.
+CHUNK, BUCKET = 1 << 21, 1 << 20
+#: Bits of a bigram's number. Numbers are mixed by an odd factor, so that their leading bits spread over the buckets.
+BITS = 42
+_ODD = 0x9E3779B97F5
+_BACK = pow(_ODD, -1, 1 << BITS)
+_MASK = np.uint64((1 << BITS) - 1)
 
 
 class Reader:
@@ -77,10 +88,9 @@ def _places(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def read(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The tokens of each whole text, hashed, written to the shared folder: (_id, _key, _part, _tokens).
+    """The tokens of each whole text, hashed: (_id, _part, _tokens).
 
-    _key is a hash of the text; _part is 1 for rows that are learned from, 2 for those of them that are held out for
-    the weights, 0 for others.
+    _part is 1 for rows that are learned from, 2 for those of them that are held out for the weights, 0 for others.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     part = F.when(F.coalesce(train, F.lit(False)), F.when(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(HELD)) == 0, 2).otherwise(1)).otherwise(0)
@@ -89,42 +99,131 @@ def read(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         reader = Reader()
         for batch in in_pieces(batches, "_text", 4 << 20):
             raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            keys = [xxhash.xxh64_intdigest(r) - (1 << 63) for r in raws]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(1), pa.array([reader.read(r) for r in raws], pa.binary())], ["_id", "_key", "_part", "_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([reader.read(r) for r in raws], pa.binary())], ["_id", "_part", "_tokens"])
 
     rows = docs.select(docs[id_col].alias("_id"), part.cast("int").alias("_part"), text_or_empty(text_col).alias("_text"))
-    return stage(rows.mapInArrow(tidy(run), f"_id {kind}, _key long, _part int, _tokens binary"), "tokens")
+    return rows.mapInArrow(tidy(run), f"_id {kind}, _part int, _tokens binary")
 
 
 @dataclass
-class Model:
+class Numbers:
+    """What tasks need of a model; bounded by the vocabulary and PAIRS."""
+
+    #: training tokens and distinct words among them
     tokens: int
     distinct: int
-    #: the least count of a word in the table
-    threshold: int
+    #: words of the vocabulary with their training counts; a word's number is its place here, that of rare ones comes next
     hashes: np.ndarray
     counts: np.ndarray
-    #: class of each word of the table
-    classes: np.ndarray
-    #: natural logarithms, contexts (the classes, then the start) x classes
-    log_bigram: np.ndarray
-    #: weight of relative frequency in the shared class, its tokens and its words
+    #: training counts of all numbers as words, and as contexts (the start of a text last)
+    words: np.ndarray
+    contexts: np.ndarray
+    #: share of the training tokens that is not held out
+    kept: float
+    #: rare words: weight of relative frequency, their tokens and their number
     own: float
-    shared_tokens: int
-    shared_words: int
+    rare_tokens: int
+    rare_words: int
+    #: BUCKETS x 3
     weights: np.ndarray
+    #: bits of a bucket's number
+    bits: int
+    #: mixed numbers of frequent bigrams, sorted, and their training counts
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+
+    @property
+    def rare(self) -> int:
+        return len(self.hashes)
 
     def log10_base(self, count):
         return np.log10((count + 1.0) / (self.tokens + self.distinct + 1.0))
 
-    def log10_shared(self, count):
-        """Logarithm of a word's probability in the shared class."""
-        return np.log10(self.own * count / max(1, self.shared_tokens) + (1 - self.own) / (self.shared_words + 1.0))
+    def log10_rare(self, count):
+        """Logarithm of a word's probability among the rare ones."""
+        return np.log10(self.own * count / max(1, self.rare_tokens) + (1 - self.own) / (self.rare_words + 1.0))
+
+    def estimates(self, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Bigram, unigram and uniform estimates; the first is 0 for contexts that never occur."""
+        total = self.words.sum()
+        unigram = self.words[word] / total if total else np.full(len(word), 1 / len(self.words))
+        return count / np.maximum(self.contexts[context], 1), unigram, 1 / len(self.words)
+
+    def log10_bigram(self, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Logarithm of the mixture; count: how often the word follows the context in training."""
+        n = self.contexts[context]
+        w = self.weights[_bucket(n * self.kept)]
+        bigram, unigram, uniform = self.estimates(context, word, count)
+        return np.log10(w[:, 0] * bigram + (w[:, 1] + np.where(n > 0, 0, w[:, 0])) * unigram + w[:, 2] * uniform)
+
+    def mixed(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The mixed numbers of the bigrams that end at each token."""
+        context = np.empty(len(ids), dtype=np.uint64)
+        context[1:] = ids[:-1]
+        context[np.cumsum(sizes) - sizes] = self.rare + 1
+        return (context * np.uint64(self.rare + 1) + ids.astype(np.uint64)) * np.uint64(_ODD) & _MASK
+
+    def of_pair(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and word of mixed numbers."""
+        plain = mixed * np.uint64(_BACK) & _MASK
+        return (plain // np.uint64(self.rare + 1)).astype(np.int64), (plain % np.uint64(self.rare + 1)).astype(np.int64)
+
+
+@dataclass
+class Model:
+    numbers: Numbers
+    #: (w, n): training counts of all words that are not of the vocabulary
+    rare: DataFrame
+    #: bigrams by bucket
+    table: DataFrame
+    #: the documents that were learned from and beside, as numbers
+    coded: DataFrame
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, the bytes of each place together, compressed."""
+    flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(raw, decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
 
+def unpacked_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(raw, n, "<u8"), dtype=np.uint64)
 
-def learn(tokens: DataFrame, classes: int = CLASSES, words: int = WORDS) -> tuple[Model, DataFrame]:
-    """The model of the rows of read() that are learned from, and the table (w, n) of all word counts."""
-    rows = tokens.filter("_part > 0").select("_part", "_tokens")
+
+def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of sorted mixed numbers."""
+    bucket = (keys >> np.uint64(BITS - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(keys) else np.zeros(1, int)
+    for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
+        yield int(bucket[a]), a, z
+
+
+def _bin(n: Column) -> Column:
+    return F.when(n <= EXACT, n).otherwise(F.floor(F.log2(n) * 8) + 1000)
+
+
+def _threshold(bins: list, room: int) -> int:
+    """The least count such that at most `room` have it or more; bins: (how many, least count) by falling count."""
+    least = 1 << 62
+    for k, n in sorted(bins, key=lambda r: -r[1]):
+        if k > room:
+            break
+        least, room = n, room - k
+    return least
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(w, kept, held): counts of all words of the rows that are learned from."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -133,116 +232,191 @@ def learn(tokens: DataFrame, classes: int = CLASSES, words: int = WORDS) -> tupl
             key = np.concatenate([h for h, _ in held])
             part = np.concatenate([p for _, p in held])
             unique, where = np.unique(key, return_inverse=True)
-            kept = np.bincount(where, weights=part == 1, minlength=len(unique)).astype(np.int64)
-            out = np.bincount(where, weights=part == 2, minlength=len(unique)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(kept), pa.array(out)], ["w", "kept", "held"])
+            n = [np.bincount(where[part == k], minlength=len(unique)).astype(np.int64) for k in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(unique), *map(pa.array, n)], ["w", "kept", "held"])
 
         for batch in in_pieces(batches, "_tokens"):
             flat, sizes = _flat(batch.column(1))
             held.append((flat, np.repeat(batch.column(0).to_numpy(), sizes)))
             size += len(flat)
-            if size > 1 << 22:
+            if size > CHUNK:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    table = rows.mapInArrow(tidy(count), "w long, kept long, held long").groupBy("w").agg(F.sum("kept").alias("kept"), F.sum("held").alias("held"))
-    table = stage(table.withColumn("n", F.col("kept") + F.col("held")), "words")
-    # how many words have a count, by exact counts and then by powers of two: what the thresholds are taken from
-    bin_ = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + 1000)
-    bins = sorted(table.groupBy(bin_.alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r.n)
-    totals = table.agg(F.sum("n"), F.count("*")).first()
-    n_tokens, distinct = int(totals[0] or 0), int(totals[1])
-    threshold, room = 1 << 62, words
-    for r in bins:
-        if r.k > room:
-            break
-        threshold, room = r.n, room - r.k
-    # frequent words: fewer than `words`
-    frequent = table.filter(F.col("n") >= threshold).select("w", "kept", "held").toArrow() if bins else pa.table({"w": pa.array([], pa.int64()), "kept": pa.array([], pa.int64()), "held": pa.array([], pa.int64())})
-    hashes = frequent.column("w").to_numpy()
-    order = np.argsort(hashes)
-    hashes, kept, held = hashes[order], frequent.column("kept").to_numpy()[order], frequent.column("held").to_numpy()[order]
-    counts = kept + held
-    own = np.lexsort((hashes, -counts))[: classes - 1]
-    shared = len(own)  # the class of all other words, the unknown among them
-    class_of = np.full(len(hashes), shared, dtype=np.int64)
-    class_of[own] = np.arange(len(own))
-    n_classes = shared + 1
-    spark = tokens.sparkSession
-    tables = spark.sparkContext.broadcast((hashes, class_of))  # bounded by `words`
+    found = rows.filter("_part > 0").select("_part", "_tokens").mapInArrow(tidy(count), "w long, kept long, held long")
+    return found.groupBy("w").agg(F.sum("kept").alias("kept"), F.sum("held").alias("held"))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = tables.value
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["pair", "n"])
+def code(tokens: DataFrame, hashes: Broadcast) -> DataFrame:
+    """Rows of read() with words as numbers of the vocabulary: (_n, _id, _part, _ids, _rare), written. _rare: hashes of rare words."""
+    kind = tokens.schema["_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_hash = np.argsort(hashes.value)
+        table = hashes.value[by_hash]
         for batch in in_pieces(batches, "_tokens"):
-            flat, sizes = _flat(batch.column(1))
-            cls = _classes(_places(known, flat), of, shared)
-            held.append((_contexts(cls, sizes, n_classes) * n_classes + cls) * 2 + (np.repeat(batch.column(0).to_numpy(), sizes) == 2))
-            size += len(flat)
-            if size > 1 << 22:
+            flat, sizes = _flat(batch.column(2))
+            places = _places(table, flat)
+            ids = np.where(places >= 0, by_hash[places], len(table)).astype("<u4")
+            ends = np.cumsum(sizes)
+            out, rare = [], []
+            for a, z in zip((ends - sizes).tolist(), ends.tolist()):
+                out.append(ids[a:z].tobytes())
+                rare.append(flat[a:z][ids[a:z] == len(table)].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary()), pa.array(rare, pa.binary())], ["_id", "_part", "_ids", "_rare"])
+
+    rows = tokens.mapInArrow(tidy(run), f"_id {kind}, _part int, _ids binary, _rare binary")
+    return stage(rows.withColumn("_n", F.monotonically_increasing_id()), "coded")
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), dtype="<u4"), np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+
+
+def _bigrams(coded: DataFrame, shared: Broadcast) -> DataFrame:
+    """(bucket, n, keys, kept, held, other): the distinct bigrams of all documents and their counts in each part."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = shared.value
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, parts = (np.concatenate(x) for x in zip(*held))
+            rows: list[tuple] = []
+            for part in (0, 1, 2):
+                unique, n = np.unique(keys[parts == part], return_counts=True)
+                n = n.astype("<u4")
+                rows += [(bucket, part, z - a, packed_keys(unique[a:z]), packed(n[a:z])) for bucket, a, z in _by_bucket(unique, numbers.bits)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "part", "n", "keys", "counts"])
+
+        for batch in in_pieces(batches, "_ids"):
+            ids, sizes = _ids(batch.column(1))
+            held.append((numbers.mixed(ids, sizes), np.repeat(batch.column(0).to_numpy(), sizes)))
+            size += len(ids)
+            if size > CHUNK:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    found = rows.mapInArrow(tidy(pairs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 2 * (classes + 1) * classes rows at most
-    cells = np.zeros((n_classes + 1) * n_classes * 2, dtype=np.float64)
-    cells[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    cells = cells.reshape(n_classes + 1, n_classes, 2)
-    weights = fit_weights(cells[:, :, 0], cells[:, :, 1])
-    log_bigram = interpolate(cells.sum(axis=2), weights, cells[:, :, 0].sum() / max(1.0, cells.sum()))
-    # words of the shared class: the same on counts, with bins of counts in the place of cells
-    alone = table if not len(own) else table.join(F.broadcast(spark.createDataFrame([(int(x),) for x in hashes[own]], "w long")), "w", "left_anti")
-    bin2 = F.when(F.col("kept") <= EXACT, F.col("kept")).otherwise(F.floor(F.log2("kept") * 8) + 1000)
-    fine = alone.groupBy(bin2.alias("b")).agg(F.sum("held").alias("held"), F.avg("kept").alias("kept"), F.count("*").alias("k"), F.sum("kept").alias("all")).collect()
-    mass, words_kept = sum(r["all"] for r in fine), sum(r.k for r in fine if r.kept)
-    own_weight = fit_shared([(r.held or 0, r.kept) for r in fine], mass, words_kept)
-    shared_tokens = n_tokens - int(counts[own].sum())
-    model = Model(n_tokens, distinct, int(threshold), hashes, counts, class_of, log_bigram.astype(np.float32), own_weight, shared_tokens, distinct - len(own), weights)
-    return model, table.select("w", "n")
-
-
-def _classes(places: np.ndarray, of: np.ndarray, shared: int) -> np.ndarray:
-    return np.where(places >= 0, of[np.maximum(places, 0)], shared) if len(of) else np.full(len(places), shared, dtype=np.int64)
-
-
-def _contexts(cls: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
-    out = np.empty_like(cls)
-    out[1:] = cls[:-1]
-    out[np.cumsum(sizes) - sizes] = start
-    return out
+    def merge(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        keys = np.concatenate([unpacked_keys(x, n) for x, n in zip(table.column("keys").to_pylist(), sizes)])
+        counts = np.concatenate([unpacked(x, n, "<u4") for x, n in zip(table.column("counts").to_pylist(), sizes)])
+        part = np.repeat(table.column("part").to_numpy(), sizes)
+        unique, where = np.unique(keys, return_inverse=True)
+        n = [packed(np.bincount(where[part == k], weights=counts[part == k], minlength=len(unique)).astype("<u8")) for k in (1, 2, 0)]
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "n": pa.array([len(unique)], pa.int64()), "keys": pa.array([packed_keys(unique)], pa.binary())} | {c: pa.array([x], pa.binary()) for c, x in zip(("kept", "held", "other"), n)})
 
+    found = coded.select("_part", "_ids").mapInArrow(tidy(runs), "bucket long, part int, n long, keys binary, counts binary")
+    return stage(found.groupBy("bucket").applyInArrow(merge, "bucket long, n long, keys binary, kept binary, held binary, other binary"), "bigrams")
 
-def _bucket(count: np.ndarray) -> np.ndarray:
-    return np.minimum(BUCKETS - 1, np.floor(np.log2(np.maximum(count, 0.5)) + 1).astype(np.int64))
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys and counts (kept, held, other) of rows (n, keys, kept, held, other)."""
+    for batch in batches:
+        for n, keys, *counts in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            yield unpacked_keys(keys, n), *(unpacked(x, n, "<u8").astype(np.int64) for x in counts)
 
-def _parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximum-likelihood bigrams (0 for contexts that never occur) and unigrams, and the contexts' counts."""
-    context = counts.sum(axis=1)
-    unigram = counts.sum(axis=0)
-    total = unigram.sum()
-    return counts / np.maximum(context, 1)[:, None], unigram / total if total else np.full(counts.shape[1], 1 / counts.shape[1]), context
+
+def learn(tokens: DataFrame, words: int = WORDS, pairs: int = PAIRS) -> Model:
+    """The model of the rows of read() that are learned from."""
+    if not 0 <= words < 1 << BITS // 2:
+        raise ValueError("too many words for the numbers of bigrams")
+    spark = tokens.sparkSession
+    end = int(np.frombuffer(xxhash.xxh64_digest(END), "<i8")[0])
+    table = stage(_counted(tokens).withColumn("n", F.col("kept") + F.col("held")), "words")
+    # how many words have a count: what the threshold is taken from
+    bins = [(r.k, r.n) for r in table.groupBy(_bin(F.col("n"))).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect()]
+    totals = table.agg(F.sum("n"), F.sum("kept"), F.count("*")).first()
+    n_tokens, n_kept, distinct = (int(x or 0) for x in totals)
+    least = _threshold(bins, words)
+    frequent = table.filter((F.col("n") >= least) | (F.col("w") == end)).select("w", "kept", "held").toArrow()  # `words` rows and the end at most
+    hashes, kept, held = (np.asarray(frequent.column(c).to_numpy(), dtype=np.int64) for c in ("w", "kept", "held"))
+    if end not in hashes:
+        hashes, kept, held = np.r_[hashes, end], np.r_[kept, 0], np.r_[held, 0]
+    order = np.lexsort((hashes, -(kept + held)))  # small numbers for frequent words: they compress
+    hashes, kept, counts = hashes[order], kept[order], (kept + held)[order]
+    rare = table.filter((F.col("n") < least) & (F.col("w") != end))
+    # rare words by bins of counts: their shares against a uniform one
+    fine = rare.groupBy(_bin(F.col("kept"))).agg(F.sum("held").alias("held"), F.avg("kept").alias("kept"), F.count("*").alias("k"), F.sum("kept").alias("all")).collect()
+    own = fit_shared([(r.held or 0, r.kept) for r in fine], sum(r["all"] for r in fine), sum(r.k for r in fine if r.kept))
+
+    def as_contexts(n: np.ndarray) -> np.ndarray:
+        """Every word but the end is followed by one, and every text starts."""
+        ends = n[np.flatnonzero(hashes == end)]
+        return np.r_[np.where(np.r_[hashes, end + 1] == end, 0, n), ends]
+
+    rare_tokens = n_tokens - int(counts.sum())
+    own = own if rare_tokens else 0.0
+    by_word = np.r_[counts, rare_tokens].astype(np.float64)
+    kept_by_word = np.r_[kept, n_kept - kept.sum()].astype(np.float64)
+    bits = max(4, int(np.ceil(np.log2(max(1, n_tokens) / BUCKET))))
+    none = np.zeros(0, dtype=np.uint64)
+    numbers = Numbers(n_tokens, distinct, hashes, counts, by_word, as_contexts(by_word), n_kept / max(1, n_tokens), own, rare_tokens, distinct - int((counts > 0).sum()), np.tile([0.3, 0.6, 0.1], (BUCKETS, 1)), bits, none, none.astype(np.int64))
+    coded = code(tokens, spark.sparkContext.broadcast(hashes))
+    kept_numbers = Numbers(**vars(numbers) | {"words": kept_by_word, "contexts": as_contexts(kept_by_word)})
+    shared = spark.sparkContext.broadcast(kept_numbers)
+    bigrams = _bigrams(coded, shared)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bins of counts over all documents, and held-out counts by bucket of the context and quarter powers of two of the estimates."""
+        numbers = shared.value
+        for keys, kept, held, other in _buckets(batches):
+            n = kept + held + other
+            place = np.where(n <= EXACT, n, np.floor(np.log2(np.maximum(n, 1)) * 8) + 1000).astype(np.int64)
+            unique, where = np.unique(place, return_inverse=True)
+            lowest = np.full(len(unique), 1 << 62)
+            np.minimum.at(lowest, where, n)
+            yield row(np.full(len(unique), -1), unique, np.bincount(where), lowest, np.zeros(len(unique)))
+            some = held > 0
+            context, word = numbers.of_pair(keys[some])
+            bigram, unigram, _ = numbers.estimates(context, word, kept[some])
+            cell = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * 4) + 4000, 0).astype(np.int64)
+            unique, where = np.unique(np.stack([_bucket(numbers.contexts[context]), cell(bigram) << 20 | cell(unigram)]), axis=1, return_inverse=True)
+            sums = [np.bincount(where.ravel(), weights=held[some] * x, minlength=unique.shape[1]) for x in (1, bigram, unigram)]
+            yield row(unique[0], unique[1], sums[0].astype(np.int64), *sums[1:])
+
+    def row(bucket, cell, n, x, y) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=t.to_pandas_dtype())) for c, t in zip((bucket, cell, n, x, y), kinds)], ["bucket", "cell", "n", "x", "y"])
+
+    # bounded by the numbers of bins: some hundreds, and BUCKETS times the squares of quarter powers that occur
+    cells = bigrams.select("n", "keys", "kept", "held", "other").mapInArrow(tidy(look), "bucket long, cell long, n long, x double, y double")
+    cells = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.min("x").alias("least")).toArrow()
+    bucket, n, x, y, lowest = (cells.column(c).to_numpy() for c in ("bucket", "n", "x", "y", "least"))
+    held_out = bucket >= 0
+    weights = fit_weights(bucket[held_out], n[held_out], x[held_out] / n[held_out], y[held_out] / n[held_out], 1 / len(by_word))
+    bound = _threshold(list(zip(n[~held_out].tolist(), lowest[~held_out].tolist())), pairs)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, kept, held, other in _buckets(batches):
+            some = kept + held + other >= bound
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].astype(np.int64)), pa.array((kept + held)[some])], ["key", "n"])
+
+    top = bigrams.select("n", "keys", "kept", "held", "other").mapInArrow(tidy(take), "key long, n long").toArrow()  # `pairs` rows at most
+    keys, n = top.column("key").to_numpy().astype(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(keys)
+    numbers = Numbers(**vars(numbers) | {"weights": weights, "pairs": keys[order], "pair_counts": n[order]})
+    return Model(numbers, rare.select("w", "n"), bigrams, coded)
+
+
+def _bucket(count: np.ndarray) -> np.ndarray:
+    return np.minimum(BUCKETS - 1, np.floor(np.log2(np.maximum(count, 0.5)) + 1).astype(np.int64))
 
 
-def fit_weights(kept: np.ndarray, held: np.ndarray, rounds: int = 60) -> np.ndarray:
+def fit_weights(bucket: np.ndarray, held: np.ndarray, bigram: np.ndarray, unigram: np.ndarray, uniform: float, rounds: int = 200) -> np.ndarray:
     """BUCKETS x 3 weights of bigram, unigram and uniform estimates, by expectation-maximisation on held-out counts."""
-    bigram, unigram, context = _parts(kept)
-    bucket = _bucket(context)
     out = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
     for b in range(BUCKETS):
-        i, j = np.nonzero(held * (bucket == b)[:, None])
-        if not len(i):
+        own = bucket == b
+        if not own.any():
             continue
-        n = held[i, j]
-        p = np.stack([bigram[i, j], unigram[j], np.full(len(i), 1 / kept.shape[1])])
+        n, p = held[own], np.stack([bigram[own], unigram[own], np.full(own.sum(), uniform)])
         w = out[b]
         for _ in range(rounds):
             share = w[:, None] * p
@@ -256,16 +430,6 @@ def fit_weights(kept: np.ndarray, held: np.ndarray, rounds: int = 60) -> np.ndar
     return out
 
 
-def interpolate(counts: np.ndarray, weights: np.ndarray, kept_share: float) -> np.ndarray:
-    """Logarithms of the mixture over all counts; a context's bucket is that of the count it had among the kept."""
-    bigram, unigram, context = _parts(counts)
-    w = weights[_bucket(context * kept_share)].copy()
-    never = context == 0
-    w[never, 1] += w[never, 0]  # no bigram to speak of
-    w[never, 0] = 0
-    return np.log(w[:, :1] * bigram + w[:, 1:2] * unigram[None, :] + w[:, 2:] / counts.shape[1])
-
-
 def fit_shared(bins: list[tuple[float, float]], mass: float, words: int, rounds: int = 200) -> float:
     """Weight of relative frequency against a uniform share for words of the shared class; bins: (held-out tokens, count)."""
     total = sum(h for h, _ in bins)
@@ -284,64 +448,104 @@ def fit_shared(bins: list[tuple[float, float]], mass: float, words: int, rounds:
     return min(max(w, 1e-6), 1 - 1e-6)
 
 
-def score(tokens: DataFrame, model: Model, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of read()."""
-    kind = tokens.schema["_id"].dataType.simpleString()
-    shared = tokens.sparkSession.sparkContext.broadcast(model)  # bounded by `words` and `classes`
+def score(coded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of code(), model.coded among them."""
+    kind = coded.schema["_id"].dataType.simpleString()
+    shared = coded.sparkSession.sparkContext.broadcast(model.numbers)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequent(m: Numbers, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, the document of each, the distinct bigrams, which one ends at each word, and their places among the frequent ones (-1: not there)."""
+        ids, sizes = _ids(column)
+        keys, where = np.unique(m.mixed(ids, sizes), return_inverse=True)
+        at = np.minimum(np.searchsorted(m.pairs, keys), max(0, len(m.pairs) - 1))
+        place = np.where(m.pairs[at] == keys, at, -1) if len(m.pairs) else np.full(len(keys), -1)
+        return ids, np.repeat(np.arange(len(sizes)), sizes), keys, where, place
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What needs no other place: numbers of words, the base of known words, the score of frequent bigrams."""
         m = shared.value
-        rest = m.log_bigram.shape[1] - 1
         base = m.log10_base(m.counts.astype(np.float64))
-        word = np.where(m.classes == rest, m.log10_shared(m.counts.astype(np.float64)), 0.0)
-        names = ["_id", "_key", "w", "n", "n_tokens", "n_known", "base", "score"]
-        for batch in in_pieces(batches, "_tokens"):
-            rows, keys = batch.num_rows, batch.column(1)
-            flat, sizes = _flat(batch.column(2))
-            places = _places(m.hashes, flat)
-            cls = _classes(places, m.classes, rest)
-            known = places >= 0
-            doc = np.repeat(np.arange(rows), sizes)
-            add = lambda v, own=slice(None): np.bincount(doc[own], weights=v, minlength=rows).astype(np.float64)
-            bigram = add(m.log_bigram[_contexts(cls, sizes, rest + 1), cls].astype(np.float64)) / np.log(10)
-            at = places[known]
-            empty = lambda t: pa.nulls(rows, t)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), keys, empty(pa.int64()), empty(pa.int64()), pa.array(sizes), pa.array(np.bincount(doc[known], minlength=rows).astype(np.int64)), pa.array(add(base[at], known)), pa.array(bigram + add(word[at], known))],
-                names,
-            )
-            rare = np.flatnonzero(~known)
-            if len(rare):
-                h, d = flat[rare], doc[rare]
-                order = np.lexsort((h, d))
-                h, d = h[order], d[order]
-                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-                n = np.diff(np.r_[first, len(h)])
-                take = pa.array(d[first])
-                none = lambda t: pa.nulls(len(first), t)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), keys.take(take), pa.array(h[first]), pa.array(n.astype(np.int64)), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names)
-
-    plan = tokens.select("_id", "_key", "_tokens")
-    rows = stage(plan.mapInArrow(tidy(run), f"_id {kind}, _key long, w long, n long, n_tokens long, n_known long, base double, score double"), "scored")
-    whole = rows.filter("w is null").drop("w", "n")
-    rare = rows.filter("w is not null").select("_id", "_key", "w", "n")
-    counts = table.filter(F.col("n") < model.threshold).select("w", F.col("n").alias("c"))
-    c = F.coalesce("c", F.lit(0)).cast("double")
-    base = F.log10((c + 1.0) / (model.tokens + model.distinct + 1.0))
-    own = F.log10(F.lit(model.own) * c / float(max(1, model.shared_tokens)) + (1 - model.own) / (model.shared_words + 1.0))
-    sums = rare.join(counts, "w", "left").groupBy("_id", "_key").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * base).alias("base2"), F.sum(F.col("n") * own).alias("score2"))
-    copies = whole.groupBy("_id", "_key").agg(F.count("*").alias("copies"))
-    own_keys = lambda x: x.withColumnsRenamed({"_id": "_id2", "_key": "_key2"})
-    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2"))
-    # sums are over all rows that are repeated as a whole: each has its share
-    each = copies.join(own_keys(sums), same).select("_id", "_key", *((F.col(x) / F.col("copies")).alias(x) for x in ("more", "base2", "score2")))
-    out = whole.join(own_keys(each), same, "left")
+        for batch in in_pieces(batches, "_ids"):
+            ids, doc, keys, where, place = frequent(m, batch.column(2))
+            add = lambda v, own: np.bincount(doc[own], weights=v, minlength=batch.num_rows).astype(np.float64)
+            value = np.zeros(len(keys))
+            found = place >= 0
+            value[found] = m.log10_bigram(*m.of_pair(keys[found]), m.pair_counts[place[found]])
+            listed = ids < m.rare
+            known = listed.copy()
+            known[listed] = m.counts[ids[listed]] > 0
+            sums = [np.bincount(doc, minlength=batch.num_rows), np.bincount(doc[known], minlength=batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x.astype(np.int64)) for x in sums), pa.array(add(base[ids[listed]], listed)), pa.array(add(value[where], slice(None)))], ["_n", "_id", "n_tokens", "n_known", "base", "score"])
+
+    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Occurrences of other bigrams, by bucket: sorted numbers, and the documents in which they are."""
+        m = shared.value
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, docs = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+            rows = []
+            for bucket, a, z in _by_bucket(keys, m.bits):
+                low = int(docs[a:z].min())
+                rows.append((bucket, z - a, packed_keys(keys[a:z]), low, packed((docs[a:z] - low).astype("<u8"))))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["bucket", "n", "keys", "low", "docs"])
+
+        for batch in in_pieces(batches, "_ids"):
+            _, doc, keys, where, place = frequent(m, batch.column(1))
+            other = np.flatnonzero(place[where] < 0)
+            held.append((keys[where[other]], batch.column(0).to_numpy()[doc[other]]))
+            size += len(other)
+            if size > CHUNK:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def meet(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """Sums of logarithms for each document, of one bucket."""
+        m = shared.value
+        docs, sums = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        lists = [(unpacked_keys(k, n), kept + held) for n, k, kept, held in ((n, k, unpacked(a, n, "<u8").astype(np.int64), unpacked(b, n, "<u8").astype(np.int64)) for n, k, a, b in zip(*(known.column(c).to_pylist() for c in ("n", "keys", "kept", "held"))))]
+        table, counts = lists[0] if lists else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        for n, raw, low, where in zip(*(asked.column(c).to_pylist() for c in ("n", "keys", "low", "docs"))):
+            keys = unpacked_keys(raw, n)
+            at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+            count = np.where(table[at] == keys, counts[at], 0) if len(table) else np.zeros(n, dtype=np.int64)
+            unique, of = np.unique(unpacked(where, n, "<u8").astype(np.int64) + low, return_inverse=True)
+            docs.append(unique)
+            sums.append(np.bincount(of, weights=m.log10_bigram(*m.of_pair(keys), count)))
+        unique, of = np.unique(np.concatenate(docs), return_inverse=True)
+        return pa.table({"n2": pa.array(unique, pa.int64()), "score2": pa.array(np.bincount(of, weights=np.concatenate(sums), minlength=len(unique)), pa.float64())})
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_pieces(batches, "_rare"):
+            flat, sizes = _flat(batch.column(1))
+            doc = np.repeat(np.arange(batch.num_rows), sizes)
+            order = np.lexsort((flat, doc))
+            flat, doc = flat[order], doc[order]
+            first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])]) if len(flat) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[first])), pa.array(flat[first]), pa.array(np.diff(np.r_[first, len(flat)]).astype(np.int64))], ["n3", "w", "times"])
+
+    m = model.numbers
+    whole = coded.select("_n", "_id", "_ids").mapInArrow(tidy(here), f"_n long, _id {kind}, n_tokens long, n_known long, base double, score double")
+    asked = coded.select("_n", "_ids").mapInArrow(tidy(away), "bucket long, n long, keys binary, low long, docs binary")
+    sums = asked.groupBy("bucket").cogroup(model.table.select("bucket", "n", "keys", "kept", "held").groupBy("bucket")).applyInArrow(meet, "n2 long, score2 double")
+    sums = sums.groupBy("n2").agg(F.sum("score2").alias("score2"))
+    c = F.coalesce("n", F.lit(0)).cast("double")
+    base = F.log10((c + 1.0) / (m.tokens + m.distinct + 1.0))
+    own = F.log10(F.lit(m.own) * c / float(max(1, m.rare_tokens)) + (1 - m.own) / (m.rare_words + 1.0))
+    met = coded.filter(F.length("_rare") > 0).select("_n", "_rare").mapInArrow(tidy(rare), "n3 long, w long, times long").join(model.rare, "w", "left")
+    met = met.groupBy("n3").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known3"), F.sum(F.col("times") * base).alias("base3"), F.sum(F.col("times") * own).alias("score3"))
+    out = whole.join(sums, whole["_n"] == sums.n2, "left").join(met, F.col("_n") == met.n3, "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
     return out.select(
         F.col("_id").alias(id_col),
         "n_tokens",
-        (F.col("n_known") + F.round(zero("more")).cast("long")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("base2")).alias("base_score"),
-        (F.col("score") + zero("score2")).alias("score"),
+        (F.col("n_known") + F.coalesce("known3", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(m.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("base3")).alias("base_score"),
+        (F.col("score") + zero("score2") + zero("score3")).alias("score"),
     )

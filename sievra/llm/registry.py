@@ -59,8 +59,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = lm.read(load(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
-    return lm.score(tokens, *lm.learn(tokens)).withColumn("held_out", crc_mod("doc_id", 7) == 2)
+    model = lm.learn(lm.read(load(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2))
+    return lm.score(model.coded, model).withColumn("held_out", crc_mod("doc_id", 7) == 2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sievra.llm import lm
@@ -28,14 +29,13 @@ def corpus(n=250):
     return [*rows, (900, None), (901, ""), (902, "A a\x0bB\xa0b É"), (902, "A a\x0bB\xa0b É"), (None, "w1 new"), (903, "w1 " * 3000)]
 
 
-@pytest.mark.parametrize("words", [1 << 20, 40])
-def test_counts_and_base(spark, words):
+@pytest.mark.parametrize("words, pairs", [(1 << 20, 1 << 20), (40, 30), (0, 0)])
+def test_counts_and_base(spark, words, pairs):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
     train = F.col("doc_id") % 5 != 0
-    rows_ = lm.read(df, train)
-    model, table = lm.learn(rows_, classes=20, words=words)
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score(rows_, model, table).collect())
+    model = lm.learn(lm.read(df, train), words, pairs)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score(model.coded, model).collect())
     count = Counter(t for i, x in rows if i is not None and i % 5 for t in tokens(x))
     n, v = sum(count.values()), len(count)
     want = []
@@ -45,65 +45,90 @@ def test_counts_and_base(spark, words):
     assert got == sorted(want)
 
 
-def test_score_is_a_probability_and_beats_the_base(spark):
-    rows = corpus()[:250]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    rows_ = lm.read(df, F.col("doc_id") % 5 != 0)
-    model, table = lm.learn(rows_, classes=70, words=80)
-    got = lm.score(rows_, model, table).filter("doc_id % 5 = 0").agg(F.sum("score"), F.sum("base_score")).first()
+def by_hand(rows, model, words):
+    """Scores from counts that are made here; weights are the model's."""
+    m = model.numbers
+    hash_of = lambda w: int(np.frombuffer(xxhash.xxh64_digest((w or "").encode()), "<i8")[0])
+    train = [tokens(t) for i, t in rows if i is not None and i % 5]
+    count = Counter(t for x in train for t in x)
+    listed = {w for w in count if hash_of(w) in set(m.hashes.tolist())}
+    assert len(listed) <= words + 1 and None in listed and all(count[w] >= count[v] for w in listed - {None} for v in set(count) - listed)
+    name = lambda w: w if w in listed else "RARE"
+    pairs, contexts, single = Counter(), Counter(), Counter()
+    for x in train:
+        for a, b in zip(["START", *map(name, x)], map(name, x)):
+            pairs[a, b] += 1
+            contexts[a] += 1
+            single[b] += 1
+    total, size = sum(single.values()), len(m.hashes) + 1
+
+    def p(a, b):
+        w = m.weights[lm._bucket(np.array([contexts[a] * m.kept]))[0]]
+        first, second = (w[0], w[1]) if contexts[a] else (0, w[0] + w[1])
+        return first * pairs[a, b] / max(1, contexts[a]) + second * single[b] / total + w[2] / size
+
+    def score(text):
+        at, out = "START", 0.0
+        for w in tokens(text):
+            out += math.log10(p(at, name(w))) + (float(m.log10_rare(count[w])) if name(w) == "RARE" else 0)
+            at = name(w)
+        return out
+
+    return count, listed, p, score
+
+
+@pytest.mark.parametrize("words, pairs", [(1 << 20, 1 << 20), (40, 30), (40, 0), (0, 5)])
+def test_whole_score_by_hand(spark, words, pairs):
+    rows = corpus()
+    model = lm.learn(lm.read(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 0), words, pairs)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in lm.score(model.coded, model).collect())
+    count, listed, p, score = by_hand(rows, model, words)
+    want = sorted((-1 if i is None else i, score(t)) for i, t in rows)
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want], rtol=1e-9)
+    assert len(model.numbers.pairs) <= pairs
+    for a in ["START", "RARE", *sorted(x for x in listed if x)[:10]]:
+        assert math.isclose(sum(p(a, b) for b in [*listed, "RARE"]), 1, rel_tol=1e-9)
+    rest = [n for w, n in count.items() if w not in listed]
+    assert math.isclose(sum(10 ** float(model.numbers.log10_rare(n)) for n in [*rest, 0]), 1, rel_tol=1e-9)
+
+
+def test_score_beats_the_base_and_other_documents_can_be_scored(spark):
+    df = spark.createDataFrame(corpus()[:250], "doc_id long, text string")
+    model = lm.learn(lm.read(df, F.col("doc_id") % 5 != 0), 80, 50)
+    got = lm.score(model.coded, model).filter("doc_id % 5 = 0").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
-    assert np.allclose(np.exp(model.log_bigram).sum(axis=1), 1, atol=1e-4)
-    shared = {r.w: r.n for r in table.collect()}
-    own = {int(h) for h, c in zip(model.hashes, model.classes) if c < model.log_bigram.shape[1] - 1}
-    mass = sum(10 ** float(model.log10_shared(n)) for w, n in shared.items() if w not in own) + 10 ** float(model.log10_shared(0))
-    assert math.isclose(mass, 1, rel_tol=1e-6)
-    assert len(own) + model.shared_words == model.distinct
+    other = spark.createDataFrame([("x", "w1 w4 w13 w1 never w1 w60")], "name string, text string")
+    coded = lm.code(lm.read(other, F.lit(False), "name"), spark.sparkContext.broadcast(model.numbers.hashes))
+    row = lm.score(coded, model, "name").first()
+    assert row.n_tokens == 8 and row.n_known < 8 and row.score < 0
 
 
-def test_whole_score_by_hand(spark):
-    rows = corpus()
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    rows_ = lm.read(df, F.col("doc_id") % 5 != 0)
-    model, table = lm.learn(rows_, classes=20, words=40)
-    got = {r.doc_id: r.score for r in lm.score(rows_, model, table).collect()}
-    import xxhash
-
-    counts = {r.w: r.n for r in table.collect()}
-    cls = dict(zip(model.hashes.tolist(), model.classes.tolist()))
-    rest = model.log_bigram.shape[1] - 1
-    for i, t in rows[:60]:
-        at, total = rest + 1, 0.0
-        for w in tokens(t):
-            h = np.frombuffer(xxhash.xxh64_digest((w or "").encode()), "<i8")[0]
-            k = cls.get(int(h), rest)
-            total += model.log_bigram[at, k] / math.log(10) + (float(model.log10_shared(counts.get(int(h), 0))) if k == rest else 0)
-            at = k
-        assert math.isclose(total, got[i], rel_tol=1e-6, abs_tol=1e-6)
+def test_runs_of_numbers_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1000):
+        keys = np.sort(rng.integers(0, 1 << lm.BITS, n).astype(np.uint64))
+        assert (lm.unpacked_keys(lm.packed_keys(keys), n) == keys).all()
+        assert sum(z - a for _, a, z in lm._by_bucket(keys, 5)) == n
+    m = lm.Numbers(0, 0, np.arange(lm.WORDS), None, None, None, 0, 0, 0, 0, None, 4, None, None)
+    ids = rng.integers(0, lm.WORDS + 1, 5000).astype(np.uint32)
+    context, word = m.of_pair(m.mixed(ids, np.array([2000, 3000])))
+    assert (word == ids).all() and (context[1:2000] == ids[:1999]).all() and context[0] == context[2000] == lm.WORDS + 1
 
 
 def test_weights_are_brute_force_em():
     rng = np.random.default_rng(2)
-    kept, held = rng.integers(0, 9, (6, 5)).astype(float), rng.integers(0, 4, (6, 5)).astype(float)
-    got = lm.fit_weights(kept, held, 2000)
-    bigram, unigram, context = lm._parts(kept)
-    for b in set(lm._bucket(context)):
-        rows = [i for i in range(6) if lm._bucket(context)[i] == b]
-
-        def value(w):
-            return sum(held[i, j] * math.log(w[0] * bigram[i, j] + w[1] * unigram[j] + w[2] / 5) for i in rows for j in range(5) if held[i, j])
-
-        best = value(got[b])
-        for _ in range(300):
-            w = rng.dirichlet([1, 1, 1])
-            assert value(w) <= best + 1e-3
+    bucket, held = rng.integers(0, 3, 40), rng.integers(1, 9, 40)
+    bigram, unigram = rng.dirichlet(np.ones(40)), rng.dirichlet(np.ones(40))
+    got = lm.fit_weights(bucket, held, bigram, unigram, 1 / 40, 4000)
+    for b in range(3):
+        value = lambda w: (held * np.log(w[0] * bigram + w[1] * unigram + w[2] / 40))[bucket == b].sum()  # noqa: B023, E731
+        assert all(value(rng.dirichlet([1, 1, 1])) <= value(got[b]) + 1e-3 for _ in range(300))
 
 
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    rows_ = lm.read(df, F.lit(False))
-    model, table = lm.learn(rows_)
-    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.score(rows_, model, table).collect()}
+    model = lm.learn(lm.read(df, F.lit(False)))
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.score(model.coded, model).collect()}
     assert got == {1: (3, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
-    rows_ = lm.read(df.limit(0), F.lit(True))
-    model, table = lm.learn(rows_)
-    assert lm.score(rows_, model, table).count() == 0
+    model = lm.learn(lm.read(df.limit(0), F.lit(True)))
+    assert lm.score(model.coded, model).count() == 0
