@@ -12,7 +12,7 @@ join; it is rare among the training documents, so none holds much of it). Bigram
 counted whatever their number: a chunk of documents gives sorted runs of its distinct bigrams, one for each of as many
 buckets as the corpus needs, and a bucket's runs are merged in one place. The most frequent bigrams, at most PAIRS of
 them counted over all documents, are broadcast and scored where they stand; the other occurrences go to their bucket and
-come back as sums for each document. As a bigram beyond PAIRS is rare, no bucket is hot.
+come back as sums for each document, packed by groups of documents. As a bigram beyond PAIRS is rare, no bucket is hot.
 
 The base score is that of an add-one unigram model. Texts: null counts as empty: one token, the end; very long texts are
 read whole. Without training documents the base is 0 a token and the model is uniform. Repeated rows each get a row;
@@ -44,6 +44,8 @@ EXACT = 64
 END = b""  # no word is empty
 #: Tokens of a chunk, and of a bucket of bigrams.
 CHUNK, BUCKET = 1 << 21, 1 << 20
+#: Documents whose sums come back together: two to this power.
+GROUP = 9
 #: Bits of a bigram's number. Numbers are mixed by an odd factor, so that their leading bits spread over the buckets.
 BITS = 42
 _ODD = 0x9E3779B97F5
@@ -518,7 +520,21 @@ def score(coded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
             docs.append(unique)
             sums.append(np.bincount(of, weights=m.log10_bigram(*m.of_pair(keys), count)))
         unique, of = np.unique(np.concatenate(docs), return_inverse=True)
-        return pa.table({"n2": pa.array(unique, pa.int64()), "score2": pa.array(np.bincount(of, weights=np.concatenate(sums), minlength=len(unique)), pa.float64())})
+        total = np.bincount(of, weights=np.concatenate(sums), minlength=len(unique))
+        group = unique >> GROUP
+        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(unique) else np.zeros(1, int)
+        rows = [(int(group[a]), packed((unique[a:z] & (1 << GROUP) - 1).astype("<u2")), packed(total[a:z]), z - a) for a, z in zip(cuts.tolist(), cuts[1:].tolist())]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("g", "docs", "sums", "n"), list(zip(*rows)) or [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))})
+
+    def total(table: pa.Table) -> pa.Table:
+        """The sums of a group of documents over all buckets."""
+        sums, seen = np.zeros(1 << GROUP), np.zeros(1 << GROUP, dtype=bool)
+        for docs, part, n in zip(*(table.column(c).to_pylist() for c in ("docs", "sums", "n"))):
+            at = unpacked(docs, n, "<u2")
+            sums[at] += unpacked(part, n, "<f8")
+            seen[at] = True
+        at = np.flatnonzero(seen)
+        return pa.table({"n2": pa.array((table.column("g")[0].as_py() << GROUP) + at, pa.int64()), "score2": pa.array(sums[at], pa.float64())})
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches, "_rare"):
@@ -532,8 +548,8 @@ def score(coded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     m = model.numbers
     whole = coded.select("_n", "_id", "_ids").mapInArrow(tidy(here), f"_n long, _id {kind}, n_tokens long, n_known long, base double, score double")
     asked = coded.select("_n", "_ids").mapInArrow(tidy(away), "bucket long, n long, keys binary, low long, docs binary")
-    sums = asked.groupBy("bucket").cogroup(model.table.select("bucket", "n", "keys", "kept", "held").groupBy("bucket")).applyInArrow(meet, "n2 long, score2 double")
-    sums = sums.groupBy("n2").agg(F.sum("score2").alias("score2"))
+    sums = asked.groupBy("bucket").cogroup(model.table.select("bucket", "n", "keys", "kept", "held").groupBy("bucket")).applyInArrow(meet, "g long, docs binary, sums binary, n long")
+    sums = sums.groupBy("g").applyInArrow(total, "n2 long, score2 double")
     c = F.coalesce("n", F.lit(0)).cast("double")
     base = F.log10((c + 1.0) / (m.tokens + m.distinct + 1.0))
     own = F.log10(F.lit(m.own) * c / float(max(1, m.rare_tokens)) + (1 - m.own) / (m.rare_words + 1.0))
