@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievra.llm import language, packing, simhash, suffix, toxicity
-from sievra.llm.common import load, short_batches, stage
+from sievra.llm.common import load, release, short_batches, stage, staged
 
 #: A document goes if it is toxic with this probability.
 TOXIC_SCORE = 0.7
@@ -55,8 +55,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str
 @apart
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str, str]) -> DataFrame:
     """Of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the smallest id stays;
-    of rows repeated as a whole, one."""
-    row = F.struct(F.col(at["doc_id"]).alias("id"), F.xxhash64(at["text"]).alias("key"))
+    of several with that id, the one whose columns hash least, so that it is the same one each time."""
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # maps have no hash
+    row = F.struct(F.col(at["doc_id"]).alias("id"), F.xxhash64(at["text"]).alias("key"), F.xxhash64(*plain).alias("all"))
     found = simhash.near_duplicates(docs.select(row.alias("row"), F.col(at["text"]).alias("text")), id_col="row")
     found = stage(found.select("row", "component"), "groups")
     losers = found.filter("row != component").select(F.col("row").alias("lost")).distinct()
@@ -67,8 +68,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, at:
 @apart
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, at: dict[str, str]) -> DataFrame:
     """Removes strings of 200 bytes that occur twice. A character that is cut goes as a whole."""
-    rest = [c for c in docs.columns if c not in (at["text"], at.get("n_chars"))]
-    found = suffix.remove_repeats(docs, 200, id_col=at["doc_id"], text_col=at["text"], keep=rest)
+    others = [c for c in docs.columns if c not in (at["text"], at.get("n_chars"))]
+    found = suffix.remove_repeats(docs, 200, id_col=at["doc_id"], text_col=at["text"], keep=others, rest="text")
     found = found.withColumn(at["text"], F.col("kept_text"))
     return found.withColumn(at["n_chars"], F.length("kept_text").cast(docs.schema[at["n_chars"]].dataType)) if "n_chars" in at else found
 
@@ -92,7 +93,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from the table documents."""
-    docs = load(spark, sf_dir, "documents")
+    docs, first = load(spark, sf_dir, "documents"), staged()
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
+        release(keep=1, first=first)
     return STAGES[-1][1](spark, docs, sf_dir)
