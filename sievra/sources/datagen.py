@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from .tables import ROW
 
-# What rows are made of.
-FIRST = "Alice Bob Carol David Emma Frank Grace Henry Isla Jack Karen Leo Mia Noah Olivia Paul Quinn Rosa Sam Tara Uma Victor Wendy Xena Yusuf Zara".split()
-LAST = "Smith Jones Brown Wilson Taylor Davies Evans Thomas Roberts Walker White Thompson Martin Clarke".split()
-DEPARTMENTS = "Engineering Marketing Sales HR Finance Operations".split()
-STATUSES = "active inactive pending".split()
+FIRST = ["Anouk", "Bela", "Chiara", "Dmitri", "Edda", "Farid", "Greta", "Hiro", "Ines", "Jovan", "Keiko", "Lars", "Mina", "Nils", "Oona", "Pavel", "Runa", "Sven", "Thea", "Umar", "Vera", "Wim", "Yara", "Zeno"]
+LAST = ["Almeida", "Bergstrom", "Castellan", "Dvorak", "Eriksen", "Fontaine", "Gruber", "Horvat", "Ivanova", "Jansen", "Kowalski", "Lindqvist", "Moreau"]
+DEPARTMENTS = ["Research", "Logistics", "Legal", "Support", "Design"]
+STATUSES = ["current", "former", "on leave"]
 COLUMNS = "id name email age salary join_date department status".split()
 # What errors put in, and the labels of the errors.
 NULL_TEXT = ["N/A", "NULL", "none", "?", "-"]

@@ -16,6 +16,7 @@ from sievra.plans.report import issues_frame, recommended, undecided
 from sievra.sources import datagen
 from sievra.sources.tables import ROW, labels_from_json, read_csv, with_row_ids, write_csv
 
+# Two sample files whose reports are known.
 BASIC = """name,email,age,created_at,salary
 John Smith ,john@gmail.com,25,2023-01-15,50000
 Jane Doe,jane@gmail.com,N/A,01/16/2023,60000
@@ -246,10 +247,10 @@ def test_detectors_can_be_registered(spark):
 
     @detect.register
     def header_issue(table: Table):
-        return [Issue(V.HEADER, c, V.LOW, V.FLAG_ONLY, 0, table.rows, [], "odd name", 1.0) for c in table.columns if c != c.lower()]
+        return [Issue("HEADER_ISSUES", c, V.LOW, V.FLAG_ONLY, 0, table.rows, [], "odd name", 1.0) for c in table.columns if c != c.lower()]
 
     try:
         df = with_row_ids(spark.createDataFrame([("x",)], "Odd string"))
-        assert [i.issue_type for i in analyze(df, models=False)[0].issues] == [V.HEADER]
+        assert [i.issue_type for i in analyze(df, models=False)[0].issues] == ["HEADER_ISSUES"]
     finally:
         detect.RULES.remove(header_issue)
