@@ -92,6 +92,8 @@ def text_or_empty(name: str = "text") -> Column:
 def give_back() -> None:
     """Returns freed memory to the system: Python workers are used again by later stages, and keep what they once took."""
     gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()  # modules stay anyway: later collections pass over them
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:

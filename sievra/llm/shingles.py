@@ -3,7 +3,7 @@
 A signature has a byte of the least hash under each of some permutations; a byte is equal in two signatures with the
 probability of the sets' similarity (and 1 / 256 of the rest). Signatures meet in the inverted index on byte positions
 of simhash, and pairs with fewer equal bytes than alike sets have are left. The others are candidates. Candidates hang
-together in groups; the sets of a group come to one place, where every candidate pair that isn't yet joined by links is
+together in groups; the sets of a group come to one place, where every candidate pair that links haven't yet joined is
 decided: links are pairs with |A and B| >= similarity * |A or B|, nothing else. Only links that join something new
 leave a group, and groups over CHUNK classes are met as pairs of chunks, so that no rows are made for pairs.
 
@@ -13,7 +13,7 @@ Texts with equal sets are one class before anything is compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .simhash import HELD, _forest, _mixed, disjoint_sets, posted, shingle_hashe
 
 #: Bytes of a class's name, which stand before its signature.
 NAME = 16
+#: Lists over this many rows are spread over instead of met pair by pair; the components are the same.
+LONG = 64
 _RNG = np.random.default_rng(11)
 _TIMES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -68,6 +70,23 @@ def least_matches(similarity: float, slots: int, lost: float = 1e-6) -> int:
     return slots
 
 
+def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join n rows into the components of a symmetric relation; near(x, rest) marks those of `rest` that it
+    holds for. A row that is reached is compared with rows that aren't yet only, so a dense component takes few comparisons."""
+    rest, left, right = np.arange(n), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(rest) > 1:
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            hit = near(x, rest)
+            if hit.any():
+                new, rest = rest[hit], rest[~hit]
+                left.append(np.full(len(new), x))
+                right.append(new)
+                todo += new.tolist()
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _met(keys: np.ndarray, rows: np.ndarray, matches: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers of the pairs inside runs of equal keys that have `matches` equal bytes, and how many they have."""
     at, step = np.flatnonzero(keys[:-1] == keys[1:]), 1
@@ -88,9 +107,16 @@ def candidates(fps: DataFrame, sets: Sequence[Sequence[int]], matches: int, slot
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, blobs in whole_lists(batches):
             rows = np.ascontiguousarray(np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, NAME + slots)[:, NAME:])
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            long_ = np.diff(cuts) > LONG
+            short = np.flatnonzero(np.repeat(~long_, np.diff(cuts)))
             held, n = [(np.empty(0, np.int64),) * 2], 0
-            for i, j, _ in _met(keys, rows, matches):
-                held.append((i, j))
+            for start, stop in zip(cuts[:-1][long_].tolist(), cuts[1:][long_].tolist()):
+                own = rows[start:stop]
+                i, j = spread(len(own), lambda x, rest: (own[rest] == own[x]).sum(axis=1) >= matches)  # noqa: B023
+                held.append((i + start, j + start))
+            for i, j, _ in _met(keys[short], rows[short], matches):
+                held.append((short[i], short[j]))
                 n += len(i)
                 if n > HELD:
                     held = [_forest(*(np.concatenate(x) for x in zip(*held)))]
@@ -101,27 +127,25 @@ def candidates(fps: DataFrame, sets: Sequence[Sequence[int]], matches: int, slot
     return posted(fps, [[NAME + p for p in s] for s in sets], NAME + slots).mapInArrow(tidy(meet), "a binary, b binary")
 
 
-def _decided(rows: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, matches: int) -> list[tuple[int, int]]:
-    """Links of one group that give the components of all of them; the likeliest pairs are decided first. Sides 1 and 2 meet each other only."""
-    size, found = np.array([len(x) for x in sets]), []
-    for i, j, tally in _met(np.zeros(len(rows), np.int64), rows, matches):
-        able = ((side[i] == 0) | (side[i] != side[j])) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
-        found.append((i[able], j[able], tally[able]))
-    if not found:
-        return []
-    i, j, tally = (np.concatenate(x) for x in zip(*found))
-    order, label, out = np.argsort(-tally, kind="stable"), np.arange(len(rows)), []
-    for k in range(0, len(order), 4096):
-        e = order[k : k + 4096]
-        e = e[label[i[e]] != label[j[e]]]
-        for x, y in zip(i[e].tolist(), j[e].tolist()):
-            if label[x] == label[y]:
-                continue
-            both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
-            if both >= similarity * (size[x] + size[y] - both) - 1e-9:
-                out.append((x, y))
-                label[label == label[y]] = label[x]
-    return out
+def _decided(rows: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one group that give the components of all of them. Sides 1 and 2 meet each other only."""
+    size = np.array([len(x) for x in sets])
+    at = np.r_[0, np.cumsum(size)].tolist()
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    held = np.zeros(len(ids), dtype=bool)  # by number of a hash: whether x has it
+
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        able = ((side[rest] == 0) | (side[rest] != side[x])) & (np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x]) - 1e-9)
+        able[able] = (rows[rest[able]] == rows[x]).sum(axis=1) >= matches
+        some = rest[able]
+        if len(some):
+            held[ids[at[x] : at[x + 1]]] = True
+            both = np.array([np.count_nonzero(held[ids[at[y] : at[y + 1]]]) for y in some.tolist()])
+            held[ids[at[x] : at[x + 1]]] = False
+            able[able] = both >= similarity * (size[x] + size[some] - both) - 1e-9
+        return able
+
+    return spread(len(rows), near)
 
 
 def alike(groups: DataFrame, similarity: float, matches: int, slots: int) -> DataFrame:
@@ -135,8 +159,8 @@ def alike(groups: DataFrame, similarity: float, matches: int, slots: int) -> Dat
                 own = blobs[start:stop]
                 rows = np.frombuffer(b"".join(x[NAME:end] for x in own), dtype=np.uint8).reshape(-1, slots)
                 links = _decided(rows, np.array([x[end] for x in own]), [np.frombuffer(x[end + 1 :], dtype="<u8") for x in own], similarity, matches)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([own[x[c]][:NAME] for x in links], pa.binary()) for c in (0, 1)], ["a", "b"])
+                if len(links[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([own[i][:NAME] for i in x.tolist()], pa.binary()) for x in links], ["a", "b"])
 
     side = lambda k: F.lit(bytearray([k]))
     rows = groups.select(F.xxhash64("root").alias("key"), "full", "hashes")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import xxhash
 
-from sievra.llm import components, simhash
+from sievra.llm import components, shingles, simhash
 
 
 def slow_fingerprint(text, width=4):
@@ -153,3 +153,31 @@ def test_a_repeated_line_does_not_make_texts_alike(spark):
     texts = [line * 30 + " ".join(f"{c}{g}_{k}" for k in range(104)) for g in range(20) for c in "yz"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert all(r.doc_id == r.component for r in simhash.near_duplicates(df).collect())
+
+
+def test_spread_joins_what_all_pairs_join():
+    rng = np.random.default_rng(8)
+    n = 300
+    rows = rng.integers(0, 256, (6, 64), dtype=np.uint8)[rng.integers(0, 6, n)]
+    for r in rows:  # up to half of a row is its own, so that some match no other
+        r[rng.integers(0, 64, rng.integers(0, 45))] = rng.integers(0, 256)
+    near = lambda x, rest: (rows[rest] == rows[x]).sum(axis=1) >= 34
+    want = [(a, b) for a, b in itertools.combinations(range(n), 2) if (rows[a] == rows[b]).sum() >= 34]
+    a, b = shingles.spread(n, near)
+    assert set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) <= set(want)
+    assert roots(n, list(zip(a.tolist(), b.tolist()))) == roots(n, want)
+    assert [len(x) for x in shingles.spread(0, near)] == [0, 0] == [len(x) for x in shingles.spread(1, near)]
+
+
+def test_candidates_of_long_lists(spark):
+    rng = np.random.default_rng(9)
+    rows = np.repeat(rng.integers(0, 256, (3, 64), dtype=np.uint8), 150, axis=0)
+    for r in rows:
+        r[rng.integers(0, 64, 12)] = rng.integers(0, 256, 12)
+    names = [f"{i:016d}".encode() for i in range(len(rows))]
+    df = spark.createDataFrame([(n + r.tobytes(),) for n, r in zip(names, rows)], "fp binary")
+    sets = shingles.disjoint_sets(64, 4, 2)
+    got = [(int(r.a), int(r.b)) for r in shingles.candidates(df, sets, 34, 64).collect()]
+    # a pair counts where it has all bytes of a set alike
+    alike = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if (same := rows[a] == rows[b]).sum() >= 34 and any(same[list(s)].all() for s in sets)]
+    assert roots(len(rows), got) == roots(len(rows), alike)
