@@ -214,9 +214,13 @@ def detect_fuzzy(table: Table) -> list[Issue]:
     out = []
     for c, p in table.profile.items():
         if V.hinted(c, V.ENTITY_HINTS) and not p.numeric_for_models:
-            total = fuzzy.pair_counts(table.df, c, table.fuzzy_threshold).first()
+            pairs = fuzzy.value_pairs(table.df, c, table.fuzzy_threshold).persist()  # joined once, read twice
+            try:
+                total = fuzzy.pair_counts(table.df, c, table.fuzzy_threshold, pairs).first()
+                top = pairs.orderBy(F.desc("similarity"), "value_a", "value_b").limit(4).collect() if total.pairs else []
+            finally:
+                pairs.unpersist()
             if total.pairs:
-                top = fuzzy.value_pairs(table.df, c, table.fuzzy_threshold).orderBy(F.desc("similarity"), "value_a", "value_b").limit(4).collect()
                 examples = [V.text("pair", a=r.value_a, b=r.value_b, percent=round(r.similarity * 100)) for r in top]
                 out.append(Issue(V.FUZZY, c, V.MEDIUM, V.FLAG_ONLY, total.pairs * 2, table.rows, examples, V.text("fuzzy", n=total.pairs, column=c), round(total.similarity, 3)))
     return out

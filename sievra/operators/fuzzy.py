@@ -69,10 +69,13 @@ def partner_counts(df: DataFrame, column: str, row_id: str, threshold: float = V
     return rows.join(near, F.col("_v") == F.col("value_a"), "left").select(E.col(row_id), F.coalesce("near_rows", F.lit(0)).alias("near_rows"))
 
 
-def pair_counts(df: DataFrame, column: str, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
-    """(column, pairs, similarity): number and mean similarity of row pairs, from the values' counts, without the pairs."""
+def pair_counts(df: DataFrame, column: str, threshold: float = V.FUZZY_THRESHOLD, pairs: DataFrame | None = None) -> DataFrame:
+    """(column, pairs, similarity): number and mean similarity of row pairs, from the values' counts, without the pairs.
+
+    pairs: value_pairs() of the column, if they are there already.
+    """
     counts = df.select(_value(column).alias("v")).groupBy("v").count()
-    pairs = value_pairs(df, column, threshold)
+    pairs = value_pairs(df, column, threshold) if pairs is None else pairs
     x = pairs.join(counts.select(F.col("v").alias("value_a"), F.col("count").alias("n1")), "value_a").join(counts.select(F.col("v").alias("value_b"), F.col("count").alias("n2")), "value_b")
     n = F.col("n1") * F.col("n2")
     return x.agg(F.lit(column).alias("column"), F.coalesce(F.sum(n), F.lit(0)).alias("pairs"), (F.sum(n * F.col("similarity")) / F.sum(n)).alias("similarity"))

@@ -99,26 +99,26 @@ def train(layers: list[Dense], x: np.ndarray, y: np.ndarray, rate: float, epochs
     return before / max(1, len(x)) if np.isfinite(before) else 0.0
 
 
-def network_columns(layers: list[Dense], inputs: list[Column]) -> list[Column]:
-    """The forward pass as expressions. Values of a layer are an array, so that an expression doesn't double with each layer."""
-    at = F.array(*inputs)
-    for layer in layers:
-        outputs = []
-        for k in range(len(layer.bias)):
-            z = F.lit(float(layer.bias[k]))
-            z = F.aggregate(F.zip_with(at, F.array(*(F.lit(float(w)) for w in layer.weights[:, k])), lambda v, w: v * w), z, lambda s, v: s + v)
-            outputs.append(E.relu(z) if layer.activation == "relu" else E.sigmoid(z) if layer.activation == "sigmoid" else z)
-        at = F.array(*outputs)
-    return [at]
+def layer_columns(layer: Dense, inputs: list[Column]) -> list[Column]:
+    """A layer's outputs as sums of products, which code generation compiles."""
+    outputs = []
+    for k in range(len(layer.bias)):
+        z = F.lit(float(layer.bias[k]))
+        for v, w in zip(inputs, layer.weights[:, k]):
+            z = z + v * F.lit(float(w))
+        outputs.append(E.relu(z) if layer.activation == "relu" else E.sigmoid(z) if layer.activation == "sigmoid" else z)
+    return outputs
 
 
 def with_network(df: DataFrame, layers: list[Dense], inputs: list[Column], name: str) -> DataFrame:
-    """df with the outputs of a network as an array; one projection a layer keeps expressions small."""
-    df = df.withColumn(name, F.array(*inputs))
-    for layer in layers:
-        at = F.col(name)
-        df = df.withColumn(name, network_columns([layer], [F.get(at, F.lit(i)) for i in range(layer.weights.shape[0])])[0])
-    return df
+    """df with the outputs of a network as an array. Each layer is a projection with a column a unit, so that expressions
+    don't double from layer to layer: columns that are used more than once aren't put into the next projection."""
+    at, own = inputs, []
+    for i, layer in enumerate(layers):
+        names = [f"{name}_{i}_{k}" for k in range(len(layer.bias))]
+        df = df.withColumns(dict(zip(names, layer_columns(layer, at))))
+        at, own = [F.col(n) for n in names], own + names
+    return df.withColumn(name, F.array(*at)).drop(*own)
 
 
 def _sample(df: DataFrame, columns: list[str]) -> np.ndarray:

@@ -114,11 +114,19 @@ def profile(df: DataFrame) -> dict[str, ColumnProfile]:
 
 def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]:
     """Exact medians. Each pass narrows the bounds of all columns by their approximate quantiles and counts what lies
-    outside; when few values are left between, they come to the driver as counts. No buffer grows with the table."""
+    outside; when few values are left between, they come to the driver as counts. No buffer grows with the table.
+    The values are held in memory and on disk meanwhile, so that each text is read as a number once and not in every pass."""
     if not values:
         return {}
-    names = list(values)
-    data = df.select(*(x.alias(f"v{i}") for i, x in enumerate(values.values())))
+    data = df.select(*(x.alias(f"v{i}") for i, x in enumerate(values.values()))).persist()
+    try:
+        return _narrowed(data, list(values))
+    finally:
+        data.unpersist()
+
+
+def _narrowed(data: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """The medians of columns v0, v1, ... under their names."""
     first = data.agg(*(F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))), *(F.min(f"v{i}").alias(f"a{i}") for i in range(len(names))), *(F.max(f"v{i}").alias(f"b{i}") for i in range(len(names)))).first()
     sizes = [first[f"n{i}"] for i in range(len(names))]
     low, high = [first[f"a{i}"] for i in range(len(names))], [first[f"b{i}"] for i in range(len(names))]

@@ -118,8 +118,9 @@ def format_numbers(df: DataFrame) -> DataFrame:
 def apply_fixes(df: DataFrame, issues: list[Issue], selections: dict[str, str] | None = None, anomalies: DataFrame | None = None, swap_iso: bool = False, keep: bool = True) -> DataFrame:
     """The repaired table. df has row ids; issues come in the order of the report; selections: {"column:TYPE": action}.
 
-    swap_iso reads yyyy-a-b day first where it can be. keep holds the table without repeated rows in memory and on disk,
-    for every fill and number format looks at it again; unpersist() of the session's cache frees it.
+    swap_iso reads yyyy-a-b day first where it can be. keep holds tables in memory and on disk: the one without repeated
+    rows while fills look at it, then the one with all choices, which number formats and the caller read;
+    unpersist() of the session's cache frees it.
     """
     selections = selections or {}
     df = clean_headers(df)
@@ -134,8 +135,8 @@ def apply_fixes(df: DataFrame, issues: list[Issue], selections: dict[str, str] |
             df = normalize_dates(df, i.column, swap_iso)
     todo = [(i, selections.get(i.key) or (selections.get(f"null:{i.issue_type}") if i.column is None else None)) for i in issues if i.fix_tier == V.SUGGEST]
     todo = [(i, a) for i, a in todo if a and (i.column is None or i.column in df.columns)]
-    if keep:
-        df = df.persist()
+    fills = any(i.issue_type == V.MISSING and a in FILLS for i, a in todo)
+    early = df.persist() if keep and fills and not _held(df) else None
     known: dict[str, str | None] = {}
     for k, (i, action) in enumerate(todo):
         if i.issue_type == V.MISSING:
@@ -159,4 +160,17 @@ def apply_fixes(df: DataFrame, issues: list[Issue], selections: dict[str, str] |
             df = fix_anomalies(df, action, anomalies)
         if action == "drop_rows":
             known = {}
-    return format_numbers(require_name(df))
+    df = require_name(df)
+    if keep and not _held(df):
+        df = df.persist()
+        out = format_numbers(df)
+        if early is not None and out is not df:  # the number formats have read the later table as a whole
+            early.unpersist()
+        return out
+    return format_numbers(df)
+
+
+def _held(df: DataFrame) -> bool:
+    """Whether the caller holds this very table already."""
+    level = df.storageLevel
+    return level.useMemory or level.useDisk
