@@ -33,13 +33,15 @@ from pyspark.sql.window import Window
 from .bpe import byte_letters
 from .common import in_pieces, stage, text_or_empty, tidy
 
-CACHE = 150_000
+CACHE = 250_000
 #: Pieces of one length and bucket are ranked together. There are BUCKETS buckets, or more, so that even if all pieces
 #: had one length, a bucket would hold about BUCKET_ROWS.
 BUCKETS, BUCKET_ROWS = 64, 500_000
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 #: Printable ASCII, and letters that are composed already, lower alike everywhere and are letters in every Unicode version.
 PLAIN = regex.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]*")
+#: Marks behind a word; any number of them is one word of the split.
+MARKS = ".,;:!?"
 
 
 class Encoder:
@@ -47,7 +49,8 @@ class Encoder:
 
     The vocabulary's words never run across white space, so the ids of a text are those of its runs in order.
     A new run of printable ASCII and letters of PLAIN is split here as the tokenizer file says, and its words go to the
-    library's model; any other run goes to the library as it is.
+    library's model; any other run goes to the library as it is. A run of letters with MARKS behind them, as nearly all
+    are, is split without the file's pattern.
     """
 
     def __init__(self, path: str):
@@ -60,8 +63,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
+        #: no special token is in a run of letters with MARKS behind them
+        self.apart = all(any(not c.isalpha() and c not in MARKS for c in s) for s in self.special)
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.packed = [struct.pack("<I", i) for i in range(1 + max(spec["model"]["vocab"].values()))]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -71,22 +77,29 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """ids of one word of the split."""
         letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        found = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(found)}I", *found)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(letters)])
+
+    def _new(self, run: str) -> bytes:
+        """ids of a run that isn't remembered."""
+        get, core = self.young.get, run.rstrip(MARKS)
+        if not core and self.apart:
+            return self._word(run)
+        if core.isalpha() and self.apart and (core.isascii() or PLAIN.fullmatch(core)):
+            word, marks = core.lower(), run[len(core) :]
+            if word == run:
+                return self._word(run)
+            found = get(word) or self._remember(word)
+            return found + (get(marks) or self._remember(marks)) if marks else found
+        if PLAIN.fullmatch(run) is None or any(s in run for s in self.special):
+            return self._of(run)
+        words = self.pattern.findall(run.lower())
+        return self._word(run) if words == [run] else b"".join([get(w) or self._remember(w) for w in words])
 
     def _remember(self, run: str) -> bytes:
         found = self.old.get(run)
         if found is None:
-            if PLAIN.fullmatch(run) is None or any(s in run for s in self.special):
-                found = self._of(run)
-            else:
-                plain = run.lower()
-                words = self.pattern.findall(plain)
-                if words == [run]:
-                    found = self._word(run)
-                else:
-                    get = self.young.get
-                    found = b"".join([get(w) or self._remember(w) for w in words])
+            found = self._new(run)
         if len(run) <= 64:
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}

@@ -30,6 +30,16 @@ def test_every_kind_of_code_point_as_the_library():
             assert np.frombuffer(enc.encode(t), "<u4").tolist() == want.ids, repr(t)
 
 
+def test_letters_and_marks_are_split_without_the_pattern():
+    lib, enc = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    enc.pattern = None
+    words = ["Atthor", "esin", "ÉCOLE", "straße", "ñezdoar", "s", "I", "ĮĖ", "ÿ", "a" * 80]
+    marks = ["", ",", ".", "!?", "...", ";:", ".,;:!?" * 12]
+    texts = [f"{w}{m} {w.lower()}{m}\n{w}" for w in words for m in marks]
+    for t in texts * 2:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def brute(stock, capacity):
     longest = max(n for n in stock if n <= capacity)
     sums = {longest}
