@@ -94,10 +94,15 @@ def give_back() -> None:
     gc.collect()
     if not gc.get_freeze_count():
         gc.freeze()  # modules stay anyway: later collections pass over them
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory to the system, without a collection."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if malloc_trim:
+        malloc_trim(0)
 
 
 def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_pieces, of_texts, text_or_empty, tidy
+from .common import in_pieces, of_texts, text_or_empty, tidy, trim
 
 ORDER = 3
 DECAY = 0.8
@@ -55,6 +55,8 @@ _END = re.compile(r"[.!?\n]+")
 PAIR_SLOTS = 512
 #: Sentences of a labelled document that training looks at, those nearest to landmarks.
 SENTENCES = 8
+#: Rows of values that are doubles at once: the driver holds all of them as they come, in 32 bits.
+ROWS = 2048
 
 
 def unit(run: str) -> str:
@@ -232,29 +234,52 @@ def spread(candidates: list[str], count: int, apart: float = 0.6) -> list[str]:
     return chosen
 
 
-def machine(values: np.ndarray, gram: np.ndarray, y: np.ndarray, cost: float = 2.0) -> tuple[np.ndarray, float]:
+def _doubles(values: np.ndarray, rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The chosen rows as doubles with a 1 behind them, ROWS at a time, and where among the chosen ones they are."""
+    for k in range(0, len(rows), ROWS):
+        part = rows[k : k + ROWS]
+        z = np.ones((len(part), values.shape[1] + 1))
+        z[:, :-1] = values[part]
+        yield slice(k, k + len(part)), z
+
+
+def _times(values: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """values @ w in double precision."""
+    out = np.empty(len(values))
+    for k in range(0, len(values), ROWS):
+        out[k : k + ROWS] = values[k : k + ROWS].astype(np.float64) @ w
+    return out
+
+
+def machine(values: np.ndarray, gram: np.ndarray, y: np.ndarray, cost: float = 2.0, rows: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights of the landmarks, none below 0 (a landmark speaks for label 1 or not at all), and the bias.
 
     In the Nystroem space this is the linear machine with squared hinge loss: its squared norm is alpha' gram alpha.
-    Newton steps, each solved under the bound by coordinate descent; classes weigh alike; y is 0 or 1.
+    Newton steps, each solved under the bound by coordinate descent; classes weigh alike; y is 0 or 1 for each row
+    that is chosen (all, if rows is None).
     """
+    rows = np.arange(len(values)) if rows is None else rows
     sign = np.where(y > 0, 1.0, -1.0)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * cost * len(gram)
-    z = np.c_[values, np.ones(len(values))]
-    ridge = np.zeros((z.shape[1],) * 2)
+    ridge = np.zeros((len(gram) + 1,) * 2)
     ridge[:-1, :-1] = gram
     ridge += 1e-6 * np.eye(len(ridge))
-    w = np.zeros(z.shape[1])
+    w = np.zeros(len(ridge))
+    told = np.zeros(len(rows))  # decision values at w
     value = np.inf
     for _ in range(40):
-        slack = 1 - sign * (z @ w)
+        slack = 1 - sign * told
         now = 0.5 * w @ ridge @ w + (share * np.maximum(0, slack) ** 2).sum()
         if now > value - 1e-7 * max(1.0, value):
             break
         value = now
-        inside = slack > 0
-        a = z[inside] * (2 * share[inside, None])
-        hess, goal = ridge + a.T @ z[inside], a.T @ sign[inside]
+        hess, goal = ridge.copy(), np.zeros(len(ridge))
+        for at, z in _doubles(values, rows):
+            inside = slack[at] > 0
+            z = z[inside]
+            a = z * (2 * share[at][inside, None])
+            hess += a.T @ z
+            goal += a.T @ sign[at][inside]
         new = w.copy()
         for _ in range(200):
             before = new.copy()
@@ -263,13 +288,16 @@ def machine(values: np.ndarray, gram: np.ndarray, y: np.ndarray, cost: float = 2
                 new[k] = x if k == len(new) - 1 else max(0.0, x)
             if np.abs(new - before).max() < 1e-6:
                 break
+        later = np.empty(len(rows))
+        for at, z in _doubles(values, rows):
+            later[at] = z @ new
         step = 1.0
         while step > 1e-3:
             trial = w + step * (new - w)
-            if 0.5 * trial @ ridge @ trial + (share * np.maximum(0, 1 - sign * (z @ trial)) ** 2).sum() < now:
+            if 0.5 * trial @ ridge @ trial + (share * np.maximum(0, 1 - sign * (told + step * (later - told))) ** 2).sum() < now:
                 break
             step /= 2
-        w = w + step * (new - w)
+        w, told = w + step * (new - w), told + step * (later - told)
     return w[:-1], float(w[-1])
 
 
@@ -299,7 +327,7 @@ def chances(model: Model, decisions: np.ndarray) -> np.ndarray:
 def decide(model: Model, values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Decision values of n texts: that of their most telling sentence, the bias where none is near a landmark."""
     out = np.full(n, model.bias)
-    np.maximum.at(out, doc, values.astype(np.float64) @ model.weights + model.bias)
+    np.maximum.at(out, doc, _times(values, model.weights) + model.bias)
     return out
 
 
@@ -310,20 +338,20 @@ def fit(landmarks: list[str], trust: np.ndarray, values: np.ndarray, doc: np.nda
     n, half = len(landmarks), (gram + gram.T) / 2
     gram = np.eye(2 * n + 2)
     gram[:n, :n] = gram[n:-2, n:-2] = half
-    values = values.astype(np.float64)
     none = np.setdiff1d(np.arange(len(y)), doc)  # texts without a sentence near any landmark
-    values, doc = np.r_[values, np.zeros((len(none), values.shape[1]))], np.r_[doc, none]
+    if len(none):
+        values, doc = np.r_[values, np.zeros((len(none), values.shape[1]), values.dtype)], np.r_[doc, none]
 
     def train(own: np.ndarray) -> tuple[np.ndarray, float]:
-        told, w, b = values @ np.r_[np.tile(1 / np.sqrt(1 + np.arange(n)), 2), 1, 1], np.zeros(len(gram)), 0.0
+        told, w, b = _times(values, np.r_[np.tile(1 / np.sqrt(1 + np.arange(n)), 2), 1, 1]), np.zeros(len(gram)), 0.0
         for _ in range(rounds):
             order = np.lexsort((-told, doc))
             first = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]
             speaks = np.zeros(len(doc), dtype=bool)
             speaks[first] = True
             rows = np.flatnonzero(own[doc] & (speaks | (y[doc] <= 0)))
-            w, b = machine(values[rows], gram, y[doc[rows]])
-            told = values @ w + b
+            w, b = machine(values, gram, y[doc[rows]], rows=rows)
+            told = _times(values, w) + b
         return w, b
 
     fold = np.arange(len(y)) % folds
@@ -391,10 +419,34 @@ def learn(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.ravel() for x in near], pa.list_(pa.float32()))], ["id", "y", "v"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    table = rows.select("_doc", "_y", "_text").mapInArrow(tidy(measure), f"id {kind}, y int, v array<float>").toPandas().sort_values("id")
+    table = rows.select("_doc", "_y", "_text").mapInArrow(tidy(measure), f"id {kind}, y int, v array<float>").toArrow()
     rows.unpersist()
-    near = [np.asarray(v, dtype=np.float32).reshape(-1, 2 * len(names) + 2) for v in table["v"]]
-    return fit(names, trust, np.concatenate(near), np.repeat(np.arange(len(near)), [len(x) for x in near]), table["y"].to_numpy())
+    values, doc, y = _gathered(table, 2 * len(names) + 2)
+    del table
+    model = fit(names, trust, values, doc, y)
+    del values
+    trim()
+    return model
+
+
+def _gathered(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all sentences in the order of their texts' ids, the text that each is of, and y of the texts.
+
+    A text without a sentence has a row of zeros."""
+    ids = table.column("id").to_pylist()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table.column("v").chunks]) // width
+    held = np.maximum(1, sizes)
+    start = np.zeros(len(ids), dtype=np.int64)
+    start[order] = np.r_[0, np.cumsum(held[order])[:-1]]
+    values, k = np.zeros((int(held.sum()), width), dtype=np.float32), 0
+    for chunk in table.column("v").chunks:
+        flat, at = chunk.flatten().to_numpy().reshape(-1, width), 0
+        for n, to in zip(sizes[k : k + len(chunk)].tolist(), start[k : k + len(chunk)].tolist()):
+            values[to : to + n] = flat[at : at + n]
+            at += n
+        k += len(chunk)
+    return values, np.repeat(np.arange(len(ids)), held[order]), table.column("y").to_numpy()[order]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,9 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from sievra.llm import toxicity as tx
 
@@ -56,6 +58,56 @@ def test_isotonic_is_monotone_and_calibrated():
     assert np.abs(p - 1 / (1 + np.exp(-3 * grid))).max() < 0.12
 
 
+def sentences(n=4000, marks=20, seed=5):
+    """Values of sentences, eight a text, the texts that they are of, and y."""
+    rng = np.random.default_rng(seed)
+    y = (np.arange(n) % 2).astype(np.int64)
+    doc = np.repeat(np.arange(n), 8)
+    values = (rng.random((len(doc), 2 * marks + 2)) * (rng.random((len(doc), 1)) < 0.2 + 0.5 * y[doc, None])).astype(np.float32)
+    return ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(marks)], np.ones(marks, dtype=np.float32), values, doc, y
+
+
+def test_training_holds_values_once():
+    given = sentences()
+    tracemalloc.start()
+    try:
+        model = tx.fit(*given)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * given[2].nbytes  # beside the values themselves
+    assert np.isfinite(model.weights).all() and model.weights.max() > 0
+
+
+def test_machine_is_the_same_by_parts_and_at_its_least(monkeypatch):
+    _, _, values, doc, y = sentences(60, 4)
+    y, gram = y[doc], np.eye(values.shape[1])
+    w, b = tx.machine(values, gram, y)
+    monkeypatch.setattr(tx, "ROWS", 7)
+    few, c = tx.machine(values, gram, y)
+    assert np.allclose(w, few, atol=1e-6) and abs(b - c) < 1e-6
+    some = np.flatnonzero(np.arange(len(y)) % 3 > 0)
+    assert np.allclose(tx.machine(values, gram, y[some], rows=some)[0], tx.machine(values[some], gram, y[some])[0], atol=1e-6)
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum()) * 2 * len(gram)
+
+    def loss(w, b):
+        return 0.5 * w @ w + (share * np.maximum(0, 1 - np.where(y > 0, 1, -1) * (values.astype(np.float64) @ w + b)) ** 2).sum()
+
+    for k in range(len(w)):
+        for d in (-1e-2, 1e-2):
+            other = np.maximum(0, w + d * (np.arange(len(w)) == k))
+            assert loss(other, b) >= loss(w, b) - 1e-6
+    assert min(loss(w, b + 1e-2), loss(w, b - 1e-2)) >= loss(w, b) - 1e-6
+
+
+def test_values_are_gathered_in_the_order_of_ids():
+    rows = [("b", 1, [1.0, 2, 3, 4]), ("c", 0, []), ("a", 0, [5.0, 6])]
+    parts = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([y], pa.int32()), pa.array([v], pa.list_(pa.float32()))], ["id", "y", "v"]) for i, y, v in rows]
+    table = pa.concat_tables([pa.Table.from_batches(parts[:1]), pa.Table.from_batches(parts[1:]).combine_chunks()])
+    values, doc, y = tx._gathered(table, 2)
+    assert values.tolist() == [[5, 6], [1, 2], [3, 4], [0, 0]] and doc.tolist() == [0, 1, 1, 2] and y.tolist() == [0, 1, 0]
+
+
 def corpus(n=400, seed=2):
     rng = random.Random(seed)
     words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
